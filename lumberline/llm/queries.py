@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import round_trip
 from .exact import exact_dedup
+from .extraction import extracted
 from .language import language_id
 from .packing import packed
 from .pii import surrogates
 from .quality import quality
 from .shared import table
 from .simhash import near_duplicates
+from .urls import url_filter
 
 def tokenizer() -> str:
     """The production vocabulary; the operators take any path."""
@@ -24,9 +26,11 @@ def tokenizer() -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": lambda spark, d: packed(table(spark, d, "documents")),
+    "op2_html_extraction": lambda spark, d: extracted(table(spark, d, "pages")),
     "op3_bpe": lambda spark, d: round_trip(table(spark, d, "documents"), tokenizer()),
     "op5_exact_dedup": lambda spark, d: exact_dedup(table(spark, d, "documents")),
     "op6_simhash_dedup": lambda spark, d: near_duplicates(table(spark, d, "documents")),
+    "op7_url_filter": lambda spark, d: url_filter(table(spark, d, "pages")),
     "op8_pii_surrogates": lambda spark, d: surrogates(table(spark, d, "documents")),
     "op9_language_id": lambda spark, d: language_id(table(spark, d, "documents")),
     "op10_quality_rules": lambda spark, d: quality(table(spark, d, "documents")),
