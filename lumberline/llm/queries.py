@@ -13,6 +13,7 @@ from .language import language_id
 from .packing import packed
 from .pii import surrogates
 from .quality import quality
+from .repeats import without_repeats
 from .shared import table
 from .simhash import near_duplicates
 from .urls import url_filter
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": lambda spark, d: packed(table(spark, d, "documents")),
     "op2_html_extraction": lambda spark, d: extracted(table(spark, d, "pages")),
     "op3_bpe": lambda spark, d: round_trip(table(spark, d, "documents"), tokenizer()),
+    "op4_suffix_array_dedup": lambda spark, d: without_repeats(table(spark, d, "documents")),
     "op5_exact_dedup": lambda spark, d: exact_dedup(table(spark, d, "documents")),
     "op6_simhash_dedup": lambda spark, d: near_duplicates(table(spark, d, "documents")),
     "op7_url_filter": lambda spark, d: url_filter(table(spark, d, "pages")),
