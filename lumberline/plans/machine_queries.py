@@ -1 +1,88 @@
-"""Queries of the state machines."""
+"""Queries of the state machines over the events table; SQL where recursion can say the same."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..adapters import LOGS_SQL, logs
+from ..streaming import batch
+from ..streaming.machines import BothLimits, Dedup, PatternAlert, RateLimit, Silence, Volume, Watch
+from .registry import DAY, END, T0, TEMPLATE, _logs, query
+
+HOUR = 3_600_000
+
+
+def _arriving(spark, d):
+    return logs(spark, d).withColumn("arrival", F.col("ts"))
+
+
+def _brief(spark, d):
+    """Entries whose message is their type alone, so that runs repeat."""
+    return _arriving(spark, d).withColumn("message", F.col("fields")["type"])
+
+
+BRIEF = f"SELECT id, ts, host, app, severity, f_type AS message FROM ({LOGS_SQL})"
+
+
+@query(
+    "dedup_runs",
+    f"""WITH RECURSIVE logs AS ({BRIEF}), starts AS (
+            SELECT host, app, severity, message, min(ts) AS start FROM logs GROUP BY ALL
+            UNION ALL
+            SELECT s.host, s.app, s.severity, s.message, min(l.ts) AS start FROM starts s JOIN logs l ON l.host = s.host AND l.app = s.app AND l.severity = s.severity AND l.message = s.message AND l.ts >= s.start + {DAY}
+            GROUP BY s.host, s.app, s.severity, s.message, s.start),
+        runs AS (SELECT s.*, count(*) - 1 AS n, max(l.ts) AS last FROM starts s JOIN logs l ON l.host = s.host AND l.app = s.app AND l.severity = s.severity AND l.message = s.message AND l.ts >= s.start AND l.ts < s.start + {DAY} GROUP BY ALL)
+        SELECT start AS ts, host, app, severity, message, CAST(0 AS BIGINT) AS repeats FROM runs
+        UNION ALL SELECT last, host, app, severity, message || ' [repeated ' || n || ' more times over ' || (last - start) // 1000 || 's]', n FROM runs WHERE n > 0""",
+)
+def _(spark, d):
+    return batch.fold(_brief(spark, d), Dedup(window=DAY), until=END + 2 * DAY)
+
+
+@query(
+    "pattern_alerts",
+    f"""WITH RECURSIVE matched AS (SELECT host, id, ts, message, row_number() OVER w AS rn, lag(ts, 4) OVER w AS front FROM ({LOGS_SQL}) WHERE severity = 3 WINDOW w AS (PARTITION BY host ORDER BY ts, id)),
+        able AS (SELECT * FROM matched WHERE ts - front <= {6 * HOUR}),
+        fired AS (
+            SELECT host, min(rn) AS rn, min(ts) AS ts FROM able GROUP BY host
+            UNION ALL
+            SELECT f.host, min(a.rn) AS rn, min(a.ts) AS ts FROM fired f JOIN able a ON a.host = f.host AND a.rn >= f.rn + 5 AND a.ts - f.ts >= {12 * HOUR} GROUP BY f.host, f.rn, f.ts)
+        SELECT f.ts, 'errors' AS rule, f.host, CAST(5 AS INTEGER) AS count, CAST({6 * HOUR // 1000} AS BIGINT) AS window_secs, m.message AS sample FROM fired f JOIN matched m ON m.host = f.host AND m.rn = f.rn""",
+)
+def _(spark, d):
+    return batch.fold(_arriving(spark, d).where("severity = 3"), PatternAlert("errors", 5, 6 * HOUR, 12 * HOUR))
+
+
+@query("volume_alerts")
+def _(spark, d):
+    return batch.volume(_arriving(spark, d), Volume(HOUR, 12, 0.5, 3.0, 0.2, 6 * HOUR))
+
+
+@query("volume_alerts_by_expression")
+def _(spark, d):
+    return batch.volume_by_expression(_arriving(spark, d), Volume(HOUR, 12, 0.5, 3.0, 0.2, 6 * HOUR))
+
+
+@query("new_patterns", _logs(f"SELECT * FROM (SELECT {TEMPLATE} AS template, min(ts) AS ts, arg_min(host, (ts, id)) AS host FROM logs WHERE severity <= 5 GROUP BY 1) WHERE ts >= {T0 + 60_000}"))
+def _(spark, d):
+    return batch.watch(_arriving(spark, d), Watch(learn_until=T0 + 60_000, factor=0), list(range(6))).select("template", "ts", "host")
+
+
+@query("pattern_surges")
+def _(spark, d):
+    return batch.watch(_arriving(spark, d), Watch(learn_until=END, window=HOUR, factor=2.0, least=3), per_minute=10)
+
+
+@query("silence_events")
+def _(spark, d):
+    return batch.fold(_arriving(spark, d).where("severity = 3"), Silence(DAY // 4, {"host1": 0}), until=END)
+
+
+@query("rate_limit_hosts")
+def _(spark, d):
+    return batch.fold(_arriving(spark, d), RateLimit(1 / 3600, 3))
+
+
+@query("rate_limit_all")
+def _(spark, d):
+    return batch.fold(_arriving(spark, d), BothLimits(1 / 3600, 3, 5 / 3600))
