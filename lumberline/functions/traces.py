@@ -26,12 +26,16 @@ def normalized(value: Column) -> Column:
     return F.when(ok, F.when(bare.rlike(r"^[0-9A-Fa-f]+\z"), F.lower(bare)).otherwise(bare))
 
 
+def _not(key: str):
+    return lambda k, _: k != key
+
+
 def with_trace_ids(fields: Column) -> Column:
     """Sets trace_id and span_id from the first alias in key order, or from traceparent; what is there already is normalised."""
     entries = F.array_sort(F.map_entries(fields))
 
     def named(aliases: tuple[str, ...]) -> Column:
-        return F.filter(entries, lambda e: F.lower(e["key"]).isin(*aliases))[0]["value"]
+        return F.get(F.filter(entries, lambda e: F.lower(e["key"]).isin(*aliases)), 0)["value"]
 
     parent = F.trim(named(("traceparent",)))
     both = F.when(parent.rlike(_PARENT), parent)
@@ -39,6 +43,6 @@ def with_trace_ids(fields: Column) -> Column:
     for key, aliases, group in (("trace_id", TRACE_ALIASES, 1), ("span_id", SPAN_ALIASES, 2)):
         own = fields[key]
         value = F.when(own.isNotNull(), F.coalesce(normalized(own), own)).otherwise(F.coalesce(normalized(named(aliases)), F.lower(F.regexp_extract(both, _PARENT, group))))
-        without = F.map_filter(found, lambda k, _, key=key: k != key)
+        without = F.map_filter(found, _not(key))
         found = F.when(value.isNotNull(), F.map_concat(without, F.create_map(F.lit(key), value))).otherwise(found)
     return F.when(F.size(fields) > 0, found).otherwise(fields)
