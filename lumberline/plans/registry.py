@@ -401,4 +401,4 @@ def _(spark, d):
     return maintenance.silence_gaps(logs(spark, d).where("severity = 3"), DAY // 4)
 
 
-from . import machine_queries  # noqa: E402, F401
+from . import machine_queries, wire_queries  # noqa: E402, F401
