@@ -335,3 +335,17 @@ def test_catalog(spark, tmp_path):
     assert [r.id for r in catalog.audit_history(audit, token="t", since=2).collect()] == [5, 4, 3] and [r.id for r in catalog.audit_history(audit, refused=True).collect()] == [3]
     alerts = audit.select("id", "ts", F.lit("silent").alias("kind"), F.col("token").alias("host"))
     assert [r.id for r in catalog.alert_history(alerts, kind="silent", host="u").collect()] == [2] and catalog.purged(alerts, 86_400_003, 1).count() == 3
+
+
+def test_streams_and_chunks(spark):
+    from lumberline.sources import files
+
+    df = spark.createDataFrame([("p", b"5 <1>ab<2>line\n<3>last", 7)], "peer string, body binary, arrival long")
+    assert [r.line for r in files.syslog_lines(df).collect()] == ["<1>ab", "<2>line", "<3>last"]
+    whole = b'{"short_message":"joined"}'
+    head = lambda i: b"\x1e\x0f12345678" + bytes([i, 2])
+    grams = [("p", head(1) + whole[9:], 2), ("p", head(0) + whole[:9], 1), ("q", whole, 3), ("q", head(0) + b"x", 4)]
+    plain, chunks = files.gelf_datagrams(spark.createDataFrame(grams, "peer string, body binary, arrival long"))
+    bodies = plain.unionByName(files.joined_chunks(chunks))
+    assert [r.message for r in decoders.decoded(bodies, "gelf").collect()] == ["joined", "joined"]
+    assert [bytes(r.body) for r in files.gelf_bodies(spark.createDataFrame([("p", b"a\0b\n", 1)], "peer string, body binary, arrival long")).collect()] == [b"a", b"b"]
