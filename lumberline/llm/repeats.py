@@ -7,8 +7,9 @@ consecutive strings with the same anchor position form a run, and its context is
 
 1. Each task finds the runs of its documents and keeps, of equal (gram, context), those of the smallest document; the others are
    decided, for a smaller document has all their strings. Packed runs are exchanged by gram, where the same rule decides again.
-   What remains of a gram has one context each; where a gram has several, from several documents, they are contested: they may
-   still share strings. A gram with over ``HOT`` contexts in one task skips this step with all but one of them, is contested
+   What remains of a gram has one context each; where a gram has several, from several documents, they may still share strings: a
+   string that holds the gram has half of its other 34 bytes on one side of it, so that contexts are contested if another
+   document's has the same 17 bytes before the gram, or after it (by a 16-bit hash, which only adds contexts). A gram with over ``HOT`` contexts in one task skips this step with all but one of them, is contested
    and hot, and is spread by document, so that no gram gathers in one task.
 2. Contested contexts are cut from the texts and dealt to shards by gram. Each shard builds a suffix array (Larsson-Sadakane),
    Kasai's common prefixes tell which strings are equal, and the strings of all but the smallest document are decided. Hot grams
@@ -43,7 +44,9 @@ PIECE = 1 << 20
 RUNS = 1 << 20
 BUCKETS = 8
 UNDECIDED, UNDECIDED_HOT, DECIDED, CONTESTED, CONTESTED_HOT = range(5)
-RUN = np.dtype([("gram", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("n", "u1"), ("kind", "u1")])
+RUN = np.dtype([("gram", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("n", "u1"), ("kind", "u1"), ("left", "<u2"), ("right", "<u2")])
+SHARDS = 32
+TOGETHER = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,11 +56,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def runs_of(body: bytes, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """gram, context, start and n of the runs of texts that end at ``ends`` in body, PIECE bytes at most."""
+    """gram, context, start, n, left and right of the runs of texts that end at ``ends`` in body, PIECE bytes at most."""
     window = length - gram + 1
     words = np.ndarray((len(body) + 1,), "<u8", body + b"\0" * 8, strides=(1,)).copy()
     if len(body) < length:
-        return (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+        return (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint16), np.empty(0, np.uint16))
     grams = words[: len(body) - gram + 1] * np.uint64(0x9E3779B97F4A7C15)
     for k in range(8, gram - 7, 8):
         grams = mix(grams) ^ words[k : k + len(grams)]
@@ -79,7 +82,17 @@ def runs_of(body: bytes, ends: np.ndarray, length: int = LENGTH, gram: int = GRA
     context = n.astype(np.uint64) << np.uint64(8) | (anchor - start).astype(np.uint64)
     for k in range(-(-(window + length) // 8)):
         context = mix(context ^ words[np.minimum(start + 8 * k, stop - 8)])
-    return grams[anchor], context, start, n
+    half = (length - gram + 1) // 2
+    sides = [_half(words, np.maximum(anchor - half, 0), half), _half(words, np.minimum(anchor + gram, len(body) - half), half)]
+    return grams[anchor], context, start, n, *sides
+
+
+def _half(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash of ``size`` bytes from each place, where that many lie in the text; of whatever else where they don't."""
+    found = np.zeros(len(at), np.uint64)
+    for k in (*range(0, size - 7, 8), size - 8):
+        found = mix(found ^ words[at + k])
+    return found.astype(np.uint16)
 
 
 def decide(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,10 +127,10 @@ def found_runs(batches: Iterator[pa.RecordBatch], buckets: int, hot: int = HOT)
         nonlocal held, docs, texts, size
         if texts:
             ends = np.cumsum([len(t) for t in texts])
-            gram, context, start, n = runs_of(b"".join(texts), ends)
+            gram, context, start, n, left, right = runs_of(b"".join(texts), ends)
             which = np.searchsorted(ends, start, side="right")
             runs = np.empty(len(gram), RUN)
-            runs["gram"], runs["context"], runs["n"], runs["kind"] = gram, context, n, UNDECIDED
+            runs["gram"], runs["context"], runs["n"], runs["kind"], runs["left"], runs["right"] = gram, context, n, UNDECIDED, left, right
             runs["doc"] = np.array([d for d, _ in docs])[which]
             runs["start"] = start - np.concatenate(([0], ends))[which] + np.array([s for _, s in docs])[which]
             parts.append(runs)
@@ -184,6 +197,15 @@ def _rows(runs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(runs["doc"]), pa.array(runs["start"]), pa.array(runs["n"].astype(np.int64)), pa.array(runs["kind"].astype(np.int32)), pa.array(runs["gram"].view(np.int64))], ["doc", "start", "n", "kind", "gram"])
 
 
+def _shared(which: np.ndarray, side: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether another document has the same side of the same gram."""
+    _, group = np.unique(which << 16 | side, return_inverse=True)
+    low, high = np.full(len(doc), np.iinfo(np.int64).max), np.full(len(doc), np.iinfo(np.int64).min)
+    np.minimum.at(low, group, doc)
+    np.maximum.at(high, group, doc)
+    return (low != high)[group]
+
+
 def settled_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each bucket: the decided and the contested runs; what is neither stays out."""
     for _, blobs in _by_key(batches, "bucket"):
@@ -200,7 +222,9 @@ def settled_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
         np.minimum.at(low, which[~done], runs["doc"][~done])
         np.maximum.at(high, which[~done], runs["doc"][~done])
-        contested = ~done & (warm | (low != high))[which]
+        several = (~done & (low != high)[which] & ~warm[which]).nonzero()[0]
+        contested = ~done & warm[which]
+        contested[several] = _shared(which[several], runs["left"][several], runs["doc"][several]) | _shared(which[several], runs["right"][several], runs["doc"][several])
         runs["kind"][done] = DECIDED
         runs["kind"][contested] = np.where(warm[which[contested]], CONTESTED_HOT, CONTESTED)
         if (done | contested).any():
@@ -253,9 +277,22 @@ def shard_strings(doc: np.ndarray, start: np.ndarray, hot: np.ndarray, bodies: l
     return (doc[who[lost]], start[who[lost]] + offset[at[lost]]), (strings, doc[who[left]], start[who[left]] + offset[at[left]])
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole shards, small ones with their neighbours: equal strings lie in one shard, and more of them change nothing."""
+    waiting, size = [], 0
+    for _, rows in _by_key(batches, "shard"):
+        waiting.append(rows)
+        size += rows["body"].nbytes
+        if size >= TOGETHER:
+            yield pa.concat_tables(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield pa.concat_tables(waiting)
+
+
 def sharded(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Decided starts (bucket null) and sorted runs of hot strings (packed, by bucket) of each shard."""
-    for _, rows in _by_key(batches, "shard"):
+    for rows in _together(batches):
         done, (strings, doc, start) = shard_strings(*(rows[c].to_numpy() for c in ("doc", "start", "hot")), rows["body"].to_pylist())
         d, s, n = _spans(*done)
         if len(d):
@@ -323,12 +360,13 @@ def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """doc, start and n: from start on, n consecutive strings of LENGTH bytes also start in a smaller document."""
     spark = docs.sparkSession
-    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, shards = BUCKETS * partitions, SHARDS * partitions
     texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     packed = texts.mapInArrow(lambda it: found_runs(it, buckets), "bucket long, runs binary").repartition("bucket").sortWithinPartitions("bucket")
     runs = stored(packed.mapInArrow(settled_runs, "doc long, start long, n long, kind int, gram long"), "runs")
     spots = runs.where(F.col("kind") > DECIDED).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "n", "gram", (F.col("kind") == CONTESTED_HOT).alias("hot"))).alias("spots"))
-    cut = texts.join(spots, "doc_id").mapInArrow(lambda it: cut_contexts(it, buckets), "shard long, doc long, start long, hot boolean, body binary")
+    cut = texts.join(spots, "doc_id").mapInArrow(lambda it: cut_contexts(it, shards), "shard long, doc long, start long, hot boolean, body binary")
     told = cut.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda it: sharded(it, buckets), "bucket long, doc long, start long, n long, strings binary")
     told = stored(told, "shards")
     across = told.where("bucket is not null").select("bucket", "strings").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merged_shards, "doc long, start long, n long")

@@ -18,7 +18,7 @@ def suffix_array(body: np.ndarray, depth: int) -> np.ndarray:
         return np.empty(0, np.int64)
     padded = np.concatenate([body, np.zeros(depth + WORD, np.uint8)])
     words = np.ndarray((n,), ">u8", padded.tobytes(), strides=(1,)).astype(np.uint64)
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words)
     head = np.concatenate(([True], words[order[1:]] != words[order[:-1]]))
     rank = np.zeros(n + depth, np.int64)  # beyond the end: the rank of nothing
     first = np.maximum.accumulate(np.where(head, np.arange(n), 0))
@@ -32,7 +32,7 @@ def suffix_array(body: np.ndarray, depth: int) -> np.ndarray:
             break
         who = order[places]
         key = rank[who] * (n + 1) + rank[who + step]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         order[places] = who[by]
         key = key[by]
         head[places] = np.concatenate(([True], key[1:] != key[:-1]))
