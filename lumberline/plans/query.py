@@ -14,10 +14,6 @@ from . import text as search_text
 from .fields import ColumnFilter, FieldFilter, LineFilter, column_filter, parse_expression
 from ..model import FIELD_KEY, SEARCH_DEFAULT
 
-# Field names under which shippers send trace and span ids.
-TRACE_KEYS = ("trace_id", "traceid", "trace.id", "otel_trace_id", "dd.trace_id", "x-trace-id", "trace")
-
-
 @dataclass
 class Access:
     """Globs of hosts and apps that a reader may see; empty lists allow all."""

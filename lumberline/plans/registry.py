@@ -11,7 +11,7 @@ from ..adapters import DOC_LOGS_SQL, LOGS_SQL, SPANS_SQL, doc_logs, logs, spans
 from ..functions.rules import Mask, Drop, applied as rules_applied
 from ..functions.scalars import level_label, number, search_hint, severity_name, tags_of, template, truncated
 from ..operators import hosts, maintenance, metrics, patterns, retention, search, stats, top, traces
-from .fields import ColumnFilter, LineFilter, parse_expression
+from .fields import ColumnFilter, LineFilter
 from .query import Access, Query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
