@@ -64,5 +64,5 @@ def without_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     body = normalised(F.col(f"c{names.index('text')}"))
     keyed = plain.withColumns({"id": F.coalesce(F.col(f"c{names.index('doc_id')}").cast("long"), none), "digest": sha256(body), "second": F.xxhash64(body)})
-    found = keyed.join(kept, ["id", "digest", "second"], "left_semi").dropDuplicates(["id", "digest", "second"])
+    found = keyed.join(kept.hint("merge"), ["id", "digest", "second"], "left_semi").dropDuplicates(["id", "digest", "second"])
     return found.select(*(F.col(f"c{i}") for i in range(len(names)))).toDF(*names)

@@ -229,5 +229,6 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     keep = stored(found.select(F.coalesce("doc_id", none).alias("id")).distinct(), "near")
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    kept = plain.withColumn("id", F.coalesce(F.col(f"c{names.index('doc_id')}").cast("long"), none)).join(keep, "id", "left_semi")
+    rows = plain.withColumn("id", F.coalesce(F.col(f"c{names.index('doc_id')}").cast("long"), none))
+    kept = rows.join(keep.hint("merge"), "id", "left_semi")  # the same plan at every size: ids grow with the corpus
     return kept.select(*(F.col(f"c{i}") for i in range(len(names)))).toDF(*names)
