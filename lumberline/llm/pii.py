@@ -33,10 +33,12 @@ MALE_NAMES = {"Latin": ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo
 FEMALE_NAMES = {"Latin": ("Alma", "Bella", "Clara", "Dora", "Emma", "Flora", "Hanna", "Irma"), "Cyrillic": ("Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга"), "Greek": ("Άννα", "Βασιλική", "Δήμητρα", "Ελένη", "Ζωή", "Ιωάννα", "Μαρία", "Σοφία")}
 SYLLABLES = {"Latin": ("ba", "de", "lo", "mi", "nu", "ra", "so", "ve", "ka", "ti", "go", "fe", "pu", "ly", "wo", "ze"), "Cyrillic": ("ба", "де", "ло", "ми", "ну", "ра", "со", "ве", "ка", "ти", "го", "фе", "пу", "лы", "во", "зе"), "Greek": ("βα", "δε", "λο", "μι", "νυ", "ρα", "σο", "βε", "κα", "τι", "γο", "φε", "πυ", "λη", "ωρ", "ζε")}
 
+#: Labels with their dots. Where the domain's last dot ends a sentence, it is given back; names have 127 labels at most.
+_LABEL = r"(?:[A-Za-z0-9-]++\.)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _TITLES = "|".join(x.replace(".", r"\.") for x in (*MALE_TITLES, *FEMALE_TITLES))
 PATTERNS = {
-    "email": r"(?<![.%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}",
+    "email": rf"(?<![.%+-])[A-Za-z0-9._%+-]++@(?:{_LABEL}++[A-Za-z]{{2,}}|{_LABEL}{{1,126}}[A-Za-z]{{2,}})",
     "credential": rf"(?i:{'|'.join(CREDENTIALS)})\s{{0,3}}+[=:]\s{{0,3}}+[\"']?[A-Za-z0-9+/_-]{{8,}}+",
     "cloud_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "phone": r"(?<!\+)\+\d{1,3} ?\(\d{2,4}\) ?\d{3,4}[ -]?\d{4}(?!\w)|(?<!\+)\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\w)|\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<!-)\d{3}-\d{3}-\d{4}(?![\w-])",

@@ -196,6 +196,16 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert made is not None and real is not narrow
 
 
+def test_addresses_before_a_full_stop(spark):
+    mail = "ann.lee@mail.com"
+    ends = ["", ".", ". ", ".\n", ". Next", "...", ".5", ",", "-", ". Bob.Lee@x.example.org."]
+    got = {r.doc_id: r for r in pii.surrogates(docs(spark, [(i, f"write to {mail}{e}") for i, e in enumerate(ends)] + [(100, "no x@" + "a.bc-1." * 20_000)])).collect()}
+    for i, e in enumerate(ends):
+        assert mail not in got[i].text and "Bob" not in got[i].text and got[i].n_entities == 1 + ("Bob" in e), e
+        assert re.fullmatch(r"write to [a-z]{3}\.[a-z]{3}@[a-z]{4}\.com" + (re.escape(e) if "Bob" not in e else r"\. [A-Z][a-z]{2}\.[A-Z][a-z]{2}@[a-z]\.[a-z]{7}\.org\."), got[i].text), e
+    assert got[100].n_entities in (0, 1)
+
+
 def test_anonymised_keeps_columns(spark):
     df = docs(spark, [(1, TEXT, "en", "s"), (2, "clean", "en", "s")]).withColumn("n_chars", F.length("text").cast("long"))
     got = {r.doc_id: r for r in pii.anonymised(df).collect()}
