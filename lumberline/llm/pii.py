@@ -11,6 +11,9 @@ Collision checks: over all distinct entities of the table, no two of a type may
 entity that occurs. Losers take their next attempt until none is left; the few entities with later attempts reach their
 documents by a join that is left out when there are none.
 
+Limits: phone numbers without a country code are found in the form of three, three and four digits only; secrets need a keyword
+before them, and four letters or digits (after a colon and without quotes also eight characters or a digit).
+
 Defined cases: a null text stays null (and counts no entity), an empty one empty; repeated rows get equal results; an empty table
 gives an empty result; other columns are ignored by ``surrogates`` and kept by ``anonymised``, whatever their names.
 """
@@ -37,11 +40,24 @@ SYLLABLES = {"Latin": ("ba", "de", "lo", "mi", "nu", "ra", "so", "ve", "ka", "ti
 _LABEL = r"(?:[A-Za-z0-9-]++\.)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _TITLES = "|".join(x.replace(".", r"\.") for x in (*MALE_TITLES, *FEMALE_TITLES))
+#: Of a secret at least four characters must be of a kind that a surrogate moves; with fewer there are too few surrogates.
+_MOVES = r"[A-Za-z0-9а-яА-Я\u4E00-\u9C1F\uAC00-\uD6F7]"
+_SECRET = rf"[^\s\"']{{3,}}(?<=[\p{{L}}\p{{N}}+/_-])"
+#: After the keyword: a value in quotes; any run without blanks after '='; after ':' one of eight characters, or with a digit.
+_QUOTED = r"(?::?=>?|:)\s{0,3}+(?:" + "|".join(rf"{q}(?=(?:[^{q}\r\n]*?{_MOVES}){{4}})[^{q}\r\n]{{4,128}}(?={q}|$)" for q in ('"', "'")) + ")"
+_ASSIGNED = rf":?=>?\s{{0,3}}+[\"']?(?=(?:[^\s\"']*?{_MOVES}){{4}}){_SECRET}"
+_TOLD = rf":\s{{0,3}}+[\"']?(?=[^\s\"']*?[0-9]|[^\s\"']{{8}})(?=(?:[^\s\"']*?{_MOVES}){{4}}){_SECRET}"
+_GROUPED = r"(?:[ /-]\(\d{1,5}\)|[ /-]?\(\d{1,5}\)|[ /-]\d{1,12})"
+#: International numbers with any groups, or none: a country code and at least seven digits in all.
+_ABROAD = rf"(?<!\+)\+(?=[1-9](?:[ /()-]{{0,2}}\d){{6}})(?:\d{{7,15}}|\d{{1,3}}{_GROUPED}{{1,6}}(?:(?<=\))[ /-]?\d{{1,12}}{_GROUPED}{{0,6}})?)(?!\w|\.\d)|(?<!\+)\+(?=[1-9](?:\.?\d){{6}})\d{{1,3}}(?:\.\d{{1,6}}){{2,6}}(?!\w|\.\d)"
+#: National numbers of three, three and four digits with dots or blanks.
+_NATIONAL = r"(?<!\.)\d{3}\.\d{3}\.\d{4}(?!\w|[.-]\d)|\(\d{3}\)[ .]?\d{3}[ .-]\d{4}(?!\w)|[2-9]\d{2} \d{3} \d{4}(?!\w)|[2-9]\d{2} \d{3}-\d{4}(?!\w)"
 PATTERNS = {
     "email": rf"(?<![.%+-])[A-Za-z0-9._%+-]++@(?:{_LABEL}++[A-Za-z]{{2,}}|{_LABEL}{{1,126}}[A-Za-z]{{2,}})",
-    "credential": rf"(?i:{'|'.join(CREDENTIALS)})\s{{0,3}}+[=:]\s{{0,3}}+[\"']?[A-Za-z0-9+/_-]{{8,}}+",
+    "credential": rf"(?i:{'|'.join(CREDENTIALS)})[\"']?\s{{0,3}}+(?:{_QUOTED}|{_ASSIGNED}|{_TOLD})",
     "cloud_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "phone": r"(?<!\+)\+\d{1,3} ?\(\d{2,4}\) ?\d{3,4}[ -]?\d{4}(?!\w)|(?<!\+)\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\w)|\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<!-)\d{3}-\d{3}-\d{4}(?![\w-])",
+    "phone": r"(?<!\+)\+\d{1,3} ?\(\d{2,4}\) ?\d{3,4}[ -]?\d{4}(?!\w)|(?<!\+)\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\w)|\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<!-)\d{3}-\d{3}-\d{4}(?![\w-])"
+    + f"|{_ABROAD}|{_NATIONAL}",
     "social": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\w)",
     "address": rf"(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
@@ -49,11 +65,14 @@ PATTERNS = {
 }
 _TITLE_LETTERS = "".join(sorted({x[0] for x in (*MALE_TITLES, *FEMALE_TITLES)}))
 _NUMBERS = "|".join(PATTERNS[x] for x in ("phone", "social", "card", "address"))
-#: No entity begins inside a word: that test comes first, and most characters fail it. The first character picks the branch.
-PATTERN = rf"(?<![A-Za-z0-9_])(?:(?=[0-9+(])(?:{_NUMBERS})|(?=[{_TITLE_LETTERS}]){PATTERNS['person']}|(?=A){PATTERNS['cloud_key']}|(?=[apstAPST]){PATTERNS['credential']}|{PATTERNS['email']})"
+#: But for credentials (DB_PASSWORD=) no entity begins inside a word: that test comes first, and most characters fail it. The first
+#: character picks the branch.
+PATTERN = rf"(?<![A-Za-z0-9_])(?:(?=[0-9+(])(?:{_NUMBERS})|(?=[{_TITLE_LETTERS}]){PATTERNS['person']}|(?=A){PATTERNS['cloud_key']}|{PATTERNS['email']})|(?=[apstAPST]){PATTERNS['credential']}"
 #: Without one of these or a title a text has no entity.
 HINT = "[0-9@=:]"
-_KEYWORD = rf"^(?i:{'|'.join(CREDENTIALS)})\s*[=:]\s*[\"']?"
+_KEYWORD = rf"^(?i:{'|'.join(CREDENTIALS)})[\"']?\s*(?::?=>?|:)\s*[\"']?"
+#: Country codes; a compact number begins with one of them.
+_CODE = r"^\+(\d{1,3}(?!\d)|[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Letters move within their block, by case: first letter, number of letters.
 BLOCKS = ((97, 26), (65, 26), (0x430, 32), (0x410, 32), (0x3B1, 17), (0x391, 17), (0x4E00, 20000), (0x3041, 80), (0xAC00, 11000), (0x5D0, 27), (0x621, 26))
 
@@ -163,7 +182,7 @@ def _made(x: Column) -> Column:
     """x: entity, kind and stream."""
     entity, kind, stream = x["entity"], x["kind"], x["stream"]
     digits = F.regexp_replace(entity, "[^0-9]", "")
-    code = F.when(entity.startswith("+"), F.length(F.regexp_extract(entity, r"^\+(\d{1,3})", 1))).otherwise(0)
+    code = F.when(entity.startswith("+"), F.length(F.regexp_extract(entity, _CODE, 1))).otherwise(0)
     top = F.regexp_extract(entity, r"\.[A-Za-z]{2,}$", 0)
     body = F.regexp_replace(entity, _KEYWORD, "")
     card = _bound(F.struct(digits.alias("old"), _digits(digits, stream, F.lit(0)).alias("new")), lambda d: _checked(d["old"], d["new"]))

@@ -206,6 +206,24 @@ def test_addresses_before_a_full_stop(spark):
     assert got[100].n_entities in (0, 1)
 
 
+def test_phones_and_credentials_of_other_forms(spark):
+    phones = ["+14155552671", "+49 30 123456", "+33 1 23 45 67 89", "555.123.4567", "555 123 4567", "+49 (0)30 1234567", "+44.20.7946.0958", "(555) 123 4567", "+1 (017) 555-7713"]
+    secrets = {'"password": "hunter2abcd"': "hunter2abcd", "DB_PASSWORD=hunter2abcd": "hunter2abcd", "password=p@ss!word99": "p@ss!word99", "dbPassword: hunter2abcd": "hunter2abcd", "{'api_key': 'a b?c d'}": "a b?c d", "pwd=abc1": "abc1", "token => 'x1y2'": "x1y2", "SECRET: hunter2": "hunter2"}
+    plain = ["password=________ token: ---------", "the secret: a story", "total 3.141592653 +1.5 or +12 5", "+12.3456789 and 1 200 300 is it", "token == None"]
+    forms = [*phones, *secrets]
+    rows = [(i, f"see {x}. Next {x}") for i, x in enumerate(forms)] + [(100 + i, x) for i, x in enumerate(plain)]
+    got = {r.doc_id: r for r in pii.surrogates(docs(spark, rows)).collect()}
+    for i, x in enumerate(forms):
+        secret = secrets.get(x, x)
+        text, before, after = got[i].text, *x.split(secret)
+        assert secret not in text and got[i].n_entities == 2, (x, text)
+        a = text[4 : 4 + len(x)]
+        assert text == f"see {a}. Next {a}" and a.startswith(before) and a.endswith(after) and re.sub(r"\w", "", a) == re.sub(r"\w", "", x), (x, text)
+    assert got[0].text.startswith("see +1") and got[1].text.startswith("see +49 ")
+    for i, x in enumerate(plain):
+        assert got[100 + i].text == x or "None" in x, got[100 + i].text
+
+
 def test_anonymised_keeps_columns(spark):
     df = docs(spark, [(1, TEXT, "en", "s"), (2, "clean", "en", "s")]).withColumn("n_chars", F.length("text").cast("long"))
     got = {r.doc_id: r for r in pii.anonymised(df).collect()}
