@@ -8,6 +8,9 @@ A document over the capacity fills bins of its own with whole pieces, and its re
 of doc_id, about ``shard_rows`` in each, and every shard is packed in one task from (doc_id, tokens, source, cluster) alone: its
 memory is bounded whatever the sources and clusters, and a source with a third of all rows is spread over all shards.
 
+Sizes are tokens of a vocabulary where ``vocabulary`` is given (its path). Without it, and without ``tokens``, they are an
+estimate, a token for ``BYTES_A_TOKEN`` bytes: real vocabularies make more of most texts, and such bins overflow their sequence.
+
 Defined cases: a null or empty text has no tokens and takes one piece of size 0; a null source conflicts with nothing; the
 cluster is the hash of the normalised text unless a column is given; repeated rows are packed one by one and conflict as copies;
 ties go to the smaller doc_id, then the smaller source, then the older bin; an empty table gives an empty result.
@@ -16,11 +19,14 @@ ties go to the smaller doc_id, then the smaller source, then the older bin; an e
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bpe
 from .exact import normalised
 from .shared import pick
 
@@ -74,15 +80,27 @@ def pack_shard(rows: pd.DataFrame, capacity: int) -> list[tuple]:
     return out
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, tokens: Column | None = None, cluster: Column | None = None) -> DataFrame:
+def counted(rows: DataFrame, path: str) -> DataFrame:
+    """The rows with their tokens in place of the text: every text is encoded, and none goes on to the shuffle."""
+    shared = rows.sparkSession.sparkContext.broadcast(bpe.vocabulary(path))
+    rest = [c for c in rows.columns if c != "text"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [len(shared.value.encode(t.as_py() or "")) // 4 for t in b["text"]]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in rest), pa.array(n, pa.int64())], [*rest, "n_tokens"])
+
+    return rows.mapInArrow(each, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rest) + ", n_tokens long")
+
+
+def packed(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, tokens: Column | None = None, cluster: Column | None = None, vocabulary: str | None = None) -> DataFrame:
     """doc_id, piece, shard, bin, start (its offset in the bin) and n_tokens of every piece; bins are numbered within their shard."""
     rows = pick(docs, "doc_id", "text", "source")
     size = F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / BYTES_A_TOKEN) if tokens is None else tokens
     group = F.xxhash64(normalised(F.col("text"))) if cluster is None else cluster
     shards = max(1, -(-docs.count() // shard_rows))
-    small = rows.select(
-        F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("n_tokens"), F.col("source").cast("string").alias("source"), group.cast("long").alias("cluster"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("long").alias("shard")
-    )
+    small = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), group.cast("long").alias("cluster"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("long").alias("shard")]
+    small = rows.select(*small, size.cast("long").alias("n_tokens")) if vocabulary is None else counted(rows.select(*small, "text"), vocabulary)
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.astype({"source": object, "doc_id": "Int64"}).sort_values(["doc_id", "source", "cluster", "n_tokens"], na_position="last", kind="stable").reset_index(drop=True)

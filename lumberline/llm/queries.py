@@ -26,7 +26,7 @@ def tokenizer() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_best_fit_packing": lambda spark, d: packed(table(spark, d, "documents")),
+    "op1_best_fit_packing": lambda spark, d: packed(table(spark, d, "documents"), vocabulary=tokenizer()),
     "op2_html_extraction": lambda spark, d: extracted(table(spark, d, "pages")),
     "op3_bpe": lambda spark, d: round_trip(table(spark, d, "documents"), tokenizer()),
     "op4_suffix_array_dedup": lambda spark, d: without_repeats(table(spark, d, "documents")),

@@ -373,6 +373,21 @@ def test_packing(spark):
     assert packing.packed(docs(spark, [])).count() == 0
 
 
+def test_packing_real_tokens(spark, vocabulary):
+    theirs, rng = bpe.vocabulary(vocabulary), random.Random(8)
+    made = lambda n: " ".join(rng.choice(("qwzx", "кот", "日本語", "x1y2", "the")) for _ in range(n))
+    rows = [(i, made(rng.randrange(1, 120)), "en", f"s{i % 9}") for i in range(120)] + [(500, None, None, None), (None, made(9), None, "s1"), (501, made(900), None, None), (501, made(30), None, "s2")]
+    got = packing.packed(clashing(docs(spark, rows)), 200, 10_000, vocabulary=vocabulary).collect()
+    want, sizes, bins = Counter(), Counter(), Counter()
+    for i, t, *_ in rows:
+        want[i] += len(theirs.encode(t or "")) // 4
+    for r in got:
+        sizes[r.doc_id] += r.n_tokens
+        bins[r.shard, r.bin] += r.n_tokens
+    assert sizes == want and want[500] == 0 and max(bins.values()) == 200
+    assert sum(want.values()) > sum(-(-len((t or "").encode()) // 4) for _, t, *_ in rows)
+
+
 def test_best_fit():
     """The tightest compatible bin, against a scan of all bins."""
     rng = random.Random(7)
