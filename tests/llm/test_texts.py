@@ -115,6 +115,15 @@ def test_quality_thresholds(spark):
     assert got == want
 
 
+def test_quality_of_groups_without_symbols(spark):
+    """Where most rows have no symbols a tenth of them is far out, and a hundredth is not."""
+    row = lambda i, n: (i, " ".join(f"word{i * 1000 + j:07}" for j in range(60)) + " " + "#" * n, "en", "s")
+    size = quality.counts(row(0, 0)[1])[1]
+    odd = {1000 + k: round(size * share) for k, share in enumerate((0.01, 0.04, 0.09, 0.11))}
+    got = {r.doc_id: r.kept for r in quality.quality(docs(spark, [row(i, 0) for i in range(80)] + [row(i, n) for i, n in odd.items()])).collect()}
+    assert all(got[i] for i in range(80)) and [got[i] for i in odd] == [True, False, False, False]
+
+
 # ---- BPE ----
 @pytest.fixture(scope="module")
 def vocabulary():
