@@ -2,7 +2,7 @@
 
 A rule names a host (and all its subdomains) and a path prefix; the longest rule that fits decides. Other pages get the verdict of
 their host. Seeds come from the rules: a host's trust is the share of its pages that rules allow, its distrust the share that
-they block. Trust spreads as personalised PageRank, forward along the links between hosts; distrust spreads the same way along
+they block. A host without pages that links lead to is judged by those links: the shares that rules allow and block. Trust spreads as personalised PageRank, forward along the links between hosts; distrust spreads the same way along
 the reversed links, to hosts that link to blocked ones. Both are sums of damped walks from the seeds (PageRank without its last
 division, which would not change which is greater), so that they compare with the seeds' shares. A host is blocked where
 distrust is at least ``THRESHOLD`` and greater than trust.
@@ -30,7 +30,7 @@ DAMPING = 0.85
 ROUNDS = 20
 THRESHOLD = 0.5
 STORE_EVERY = 5
-LINK = r"""(?i)\shref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
+LINK = r"""(?i)\shref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>][^"'\s<>]*)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,14 +55,19 @@ def ruled(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return found
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """src, dst and share: the links from one host to another as a share of the links that leave src."""
+def links(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
+    """src, dst and n, the number of links from one host to another, with the numbers that rules allow and block."""
     rows = pick(pages, "url", "html").where(F.col("html").contains("//")).select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("to"))
-    rows = rows.select("src", F.translate("to", UPPER, LOWER).alias("dst")).where("src != dst and src != ''")
-    counted = rows.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    to = F.concat(F.lit("://"), F.col("to"))
+    rows = rows.select("src", host_of(to).alias("dst"), path_of(to).alias("path")).where("src != dst and src != ''")
+    counted = rows.withColumn("by", ruled(F.col("dst"), F.col("path"), rules)).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), _told("allow"), _told("block"))
     return stored(counted, "links")
 
 
+def _told(verdict: str) -> Column:
+    return F.count(F.when(F.col("by.verdict") == verdict, 1)).alias(verdict)
+
+
 def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """host and value: the sum of damped walks from the seeds (host, value) along edges (src, dst, n)."""
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
@@ -80,9 +85,11 @@ def url_filter(pages: DataFrame, rules: tuple = RULES, threshold: float = THRESH
     """page_id, host, path, rule and verdict of every row."""
     rows = pick(pages, "page_id", "url").select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("by", ruled(F.col("host"), F.col("path"), rules))
-    share = lambda verdict: F.avg(F.coalesce((F.col("by.verdict") == verdict).cast("double"), F.lit(0.0)))
-    hosts = stored(rows.groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")), "hosts")
-    edges = links(pages)
+    edges = links(pages, rules)
+    own = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), _told("allow"), _told("block")).withColumn("own", F.lit(True))
+    linked = edges.groupBy(F.col("dst").alias("host")).agg(*(F.sum(c).alias(c) for c in ("n", "allow", "block"))).withColumn("own", F.lit(False))
+    judged = own.unionByName(linked).groupBy("host").agg(F.max(F.struct("own", "n", "allow", "block")).alias("by"))  # pages before links
+    hosts = stored(judged.select("host", (F.col("by.allow") / F.col("by.n")).alias("trust"), (F.col("by.block") / F.col("by.n")).alias("distrust")), "hosts")
     trust, distrust = hosts.select("host", F.col("trust").alias("value")), hosts.select("host", F.col("distrust").alias("value"))
     if not edges.isEmpty():
         trust = spread(trust, edges)

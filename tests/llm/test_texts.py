@@ -346,6 +346,17 @@ def test_link_graph(spark):
         assert r.verdict == (want[r.host] if r.rule is None else plain_rule(dict((i, u) for i, u, _ in rows)[r.page_id])[2][1])
 
 
+def test_hosts_without_pages(spark):
+    """Links alone make seeds of hosts that were not crawled; hosts with pages keep those of their pages."""
+    to = {"a.com": "spam.net/x", "b.com": "Other.org/fr/1?x", "c.com": "example.com/de/", "d.com": "sub.example.com/en/", "e.com": "seen.net/x"}
+    rows = [(i, f"http://{h}/", f'<a  href="http://{t}">' * 3) for i, (h, t) in enumerate(to.items())] + [(9, "http://seen.net/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.host: r.verdict for r in urls.url_filter(df).collect()}
+    assert got == {"a.com": "block", "b.com": "allow", "c.com": "block", "d.com": "allow", "e.com": "block", "seen.net": "block"}
+    seeds = {r.dst: (r.n, r.allow, r.block) for r in urls.links(df).groupBy("dst").sum("n", "allow", "block").toDF("dst", "n", "allow", "block").collect()}
+    assert seeds == {"spam.net": (3, 0, 3), "other.org": (3, 3, 0), "example.com": (3, 0, 3), "sub.example.com": (3, 0, 0), "seen.net": (3, 0, 3)}
+
+
 # ---- packing ----
 def check_bins(rows, got, capacity):
     by_doc = {r[0]: r for r in rows}
