@@ -42,7 +42,7 @@ TOGETHER = 128
 
 # Kinds of HTML elements, and attribute tokens that hint at main text or at what stands around it.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template noscript head title svg math iframe object canvas select option button textarea audio video map datalist".split())
+SILENT = frozenset("script style template noscript head title svg iframe object canvas select option button textarea audio video map datalist".split())
 RAW = frozenset("script style title textarea noscript iframe".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -62,6 +62,7 @@ HINTS = {
 HINT_OF = {word: i for i, words in enumerate(HINTS.values()) for word in words}
 KIND_OF = {tag: i for i, tags in enumerate(KINDS) for tag in tags.split()}
 
+UNQUOTED = re.compile(r"=\s*[^\s\"'>]+$")
 TAG = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?", re.S)
 TOKEN = re.compile(r"[a-z]+")
 VALUES = re.compile(r"\b(?:class|id|role|itemprop|aria-label|data-[\w-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -84,8 +85,7 @@ class Page:
             at = m.end()
             if m[2]:
                 tag = m[2].lower()
-                self._open(tag, m[3], stack)
-                if tag in RAW:
+                if self._open(tag, m[3], stack) and tag in RAW:
                     close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
                     at = close.end() if close else end
                     stack.pop()
@@ -95,7 +95,14 @@ class Page:
     def _text(self, text: str, node: int) -> None:
         self.texts.append((node, unescape(text)))
 
-    def _open(self, tag: str, attrs: str, stack: list[int]) -> None:
+    def _closes_itself(self, tag: str, attrs: str, stack: list[int]) -> bool:
+        """A slash before '>' counts in svg and math only, and not as the end of a value without quotes."""
+        if not attrs.endswith("/") or UNQUOTED.search(attrs):
+            return False
+        return tag in ("svg", "math") or next((self.tags[i] != "foreignobject" for i in reversed(stack) if self.tags[i] in ("svg", "math", "foreignobject")), False)
+
+    def _open(self, tag: str, attrs: str, stack: list[int]) -> bool:
+        """Whether the element stays open."""
         if tag in CLOSES_P:
             self._close_until(stack, "p", "button td th li div article section table")
         if tag in CLOSED_BY:
@@ -103,14 +110,16 @@ class Page:
             for x in closed.split():
                 self._close_until(stack, x, stop)
         if tag in ("html", "body") and len(self.tags) > 1 and tag in self.tags[1:]:
-            return
+            return False
         if tag in BLOCKS:
             self.texts.append((-1, ""))
         self.tags.append(tag)
         self.attrs.append(attrs)
         self.parents.append(stack[-1])
-        if tag not in VOID and not attrs.endswith("/"):
-            stack.append(len(self.tags) - 1)
+        if tag in VOID or self._closes_itself(tag, attrs, stack):
+            return False
+        stack.append(len(self.tags) - 1)
+        return True
 
     def _close_until(self, stack: list[int], tag: str, stop: str) -> None:
         for i in range(len(stack) - 1, 0, -1):

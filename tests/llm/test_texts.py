@@ -274,6 +274,18 @@ def above(page, node):
         yield node
 
 
+def test_slashes_and_formulas():
+    model = extraction.model()
+    words = "Some words of the article, enough of them to read on, and then a few more. "
+    pages = ['<script src="a"/></script><p>x</p>', f"<article><p>{words * 3}</p>" + "<script src=//cdn/x/></script>" * 9 + f"<p>{words * 3}</p></article>"]
+    pages.append(f"<article><p>{words * 3} where <math display=inline><mi>e</mi><mo>=</mo><mspace/><mi>m</mi></math> holds.</p><svg/><svg><title/><path d=a/><text>no</text></svg><p>{words * 3}</p></article>")
+    text = extraction.main_texts(pages, model)
+    both = (words * 3).strip()
+    assert text[1] == f"{both} {both}" and text[2] == f"{both} where e=m holds. {both}"
+    page = extraction.Page("<p>a <a href=http://x.org/>link</a> b<br/>c<div/>d")
+    assert [(page.tags[n], t) for n, t in page.texts if n >= 0] == [("p", "a "), ("a", "link"), ("p", " b"), ("p", "c"), ("div", "d")]
+
+
 def test_extraction(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "v", PAGE), (1, "u", PAGE), (5, "w", "<article><p>" + "long text, " * 30_000 + "</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit("x"))
