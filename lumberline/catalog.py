@@ -142,11 +142,23 @@ class Mutes:
         return {k: v for k, v in self.rules.items() if v[0] > now}
 
 
+# Of each kind of request, the paths that are one whole and those that only begin one.
+AUDIT_PATHS = {
+    "ingestion": {"whole": ("/ingest", "/gelf", "/v1/logs"), "begin": ("/loki/",)},
+    "reads": {"whole": ("/api/logs", "/api/export", "/api/tail", "/api/audit", "/api/tokens"), "begin": ("/api/logs/",)},
+}
+REFUSED = (401, 403)
+
+
+def _audit_kind(path: Column, kind: str) -> Column:
+    listed = AUDIT_PATHS[kind]
+    return path.rlike("^(?:" + "|".join([*(f"{p}$" for p in listed["whole"]), *listed["begin"]]) + ")")
+
+
 def audit_wanted(method: Column, path: Column, status: Column) -> Column:
     """Which requests are recorded: refusals, changes but for ingestion, and reads of entries."""
-    ingestion = path.isin("/ingest", "/gelf", "/v1/logs") | path.startswith("/loki/")
-    reads = path.isin("/api/logs", "/api/export", "/api/tail", "/api/audit", "/api/tokens") | path.startswith("/api/logs/")
-    return status.isin(401, 403) | F.when(method != "GET", ~ingestion).otherwise(reads)
+    served = F.when(method == "GET", _audit_kind(path, "reads")).otherwise(~_audit_kind(path, "ingestion"))
+    return served | status.isin(*REFUSED)
 
 
 def audit_history(audit: DataFrame, since: int | None = None, until: int | None = None, token: str | None = None, refused: bool = False, limit: int = AUDIT_DEFAULT) -> DataFrame:
@@ -154,7 +166,7 @@ def audit_history(audit: DataFrame, since: int | None = None, until: int | None
     if token is not None:
         found = found.where(F.col("token") == token)
     if refused:
-        found = found.where(F.col("status").isin(401, 403))
+        found = found.where(F.col("status").isin(*REFUSED))
     return found.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(limit)
 
 

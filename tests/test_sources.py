@@ -349,3 +349,17 @@ def test_streams_and_chunks(spark):
     bodies = plain.unionByName(files.joined_chunks(chunks))
     assert [r.message for r in decoders.decoded(bodies, "gelf").collect()] == ["joined", "joined"]
     assert [bytes(r.body) for r in files.gelf_bodies(spark.createDataFrame([("p", b"a\0b\n", 1)], "peer string, body binary, arrival long")).collect()] == [b"a", b"b"]
+
+
+def test_traceparent_with_more_parts(spark):
+    from lumberline.functions.traces import normalized_id, with_trace_ids
+
+    t, s = "Ab" * 16, "c1" * 8
+    rows = [f"00-{t}-{s}-00-extra", f"00-{t}-{s}-00", f"00-{'0' * 32}-{s}-01", f"00-{t}-{'0' * 16}-01", f"00-{t}-{s}"]
+    df = spark.createDataFrame([(i, {"TraceParent": v}) for i, v in enumerate(rows)], "id int, fields map<string,string>")
+    got = {r.id: (r.f.get("trace_id"), r.f.get("span_id")) for r in df.select("id", with_trace_ids(F.col("fields")).alias("f")).collect()}
+    assert [got[i] for i in range(5)] == [(t.lower(), s)] * 2 + [(None, None)] * 3
+    assert normalized_id(' "ABC" ') == "abc" and normalized_id("x Y") == "x Y"
+    for bad in ("", '"', "a\x01b", "z" * 129):
+        with pytest.raises(ValueError):
+            normalized_id(bad)
