@@ -14,11 +14,18 @@ from ..plans.query import Access
 def first_spans(spans: DataFrame, arrival: str | None = None) -> DataFrame:
     """One row of each (trace_id, span_id): the first by arrival, or else the least row."""
     others = [c for c in spans.columns if c not in ("trace_id", "span_id", arrival)]
+    spans = spans.repartition("trace_id")  # whatever groups by trace next needs no other exchange
     row = F.struct(*others)
     best = F.min(row) if arrival is None else F.min_by(row, F.struct(arrival, *others))
     return spans.groupBy("trace_id", "span_id").agg(best.alias("row")).select("trace_id", "span_id", "row.*").select(*[c for c in spans.columns if c != arrival])
 
 
+def in_window(spans: DataFrame, since: int, until: int) -> DataFrame:
+    """All copies of the spans of traces that have one in the window (ms): the scan behind the choice of traces sees the window."""
+    chosen = spans.where(F.col("start_us").between(since * 1000, until * 1000 + 999)).select("trace_id").distinct()
+    return spans.join(chosen, "trace_id", "left_semi")
+
+
 def roots(spans: DataFrame) -> DataFrame:
     """trace_id with name and service of its root: a span without parent, else the earliest; ties by span_id."""
     order = F.struct(F.when(F.col("parent_id") == "", 0).otherwise(1), "start_us", "span_id")

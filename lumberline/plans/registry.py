@@ -319,12 +319,12 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.array_join(c, ",") for c in ("services", "hosts")})
 
 
-query("trace_list", _trace_list("true"))(lambda spark, d: _flat(traces.listed(traces.first_spans(spans(spark, d)), SPAN_T0, SPAN_T1)))
+query("trace_list", _trace_list("true"))(lambda spark, d: _flat(traces.listed(traces.first_spans(traces.in_window(spans(spark, d), SPAN_T0, SPAN_T1)), SPAN_T0, SPAN_T1)))
 query("trace_list_filtered", _trace_list("bool_or(service = 'R-F') AND bool_or(contains(lower(name), 'r f')) AND bool_or(duration_us >= 40000) AND count_if(status = 2) > 0"))(
-    lambda spark, d: _flat(traces.listed(traces.first_spans(spans(spark, d)), SPAN_T0, SPAN_T1, service="R-F", name="R f", min_us=40_000, errors=True))
+    lambda spark, d: _flat(traces.listed(traces.first_spans(traces.in_window(spans(spark, d), SPAN_T0, SPAN_T1)), SPAN_T0, SPAN_T1, service="R-F", name="R f", min_us=40_000, errors=True))
 )
 query("trace_list_access", _trace_list("bool_and(host LIKE 'node%' AND (service = 'A-F' OR service LIKE 'N-%'))"))(
-    lambda spark, d: _flat(traces.listed(traces.first_spans(spans(spark, d)), SPAN_T0, SPAN_T1, access=Access(["node*"], ["A-F", "N-*"])))
+    lambda spark, d: _flat(traces.listed(traces.first_spans(traces.in_window(spans(spark, d), SPAN_T0, SPAN_T1)), SPAN_T0, SPAN_T1, access=Access(["node*"], ["A-F", "N-*"])))
 )
 query("trace_spans", _spans("SELECT COLUMNS FROM spans WHERE trace_id = lpad('7', 32, '0') ORDER BY start_us, span_id"))(lambda spark, d: traces.detail(traces.first_spans(spans(spark, d)), "7".zfill(32)).drop("kind", "status_message", "attributes", "events"))
 query("trace_root", _spans(", r AS (SELECT trace_id, arg_min((name, service), (CASE WHEN parent_id = '' THEN 0 ELSE 1 END, start_us, span_id)) AS root FROM spans GROUP BY trace_id) SELECT trace_id, root[1] AS root_name, root[2] AS root_service FROM r"))(
