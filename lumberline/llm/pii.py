@@ -5,33 +5,44 @@ nothing else changes. A surrogate derives from SHA-256 over key, type, attempt a
 same surrogate everywhere (coreference), in whatever case or punctuation it is written. Letters stay letters of their case and
 script, digits stay digits and punctuation stays; e-mail addresses keep their top-level domain, phone numbers their country code,
 card numbers their check-digit validity, addresses stay dotted quads, credentials keep the keyword before them and hexadecimal
-stays hexadecimal; names keep title, gender and script.
+stays hexadecimal, account numbers (IBAN) keep country and valid check digits; names keep title, gender (as far as the title tells)
+and script.
+
+Persons are found by a title. One person has one surrogate under all titles of a gender, and in a document that names a person with a
+title, the names alone (``Smith``, ``John Smith``) and the title with the family name alone get the same surrogate names; where two
+persons of a document share a name, the first one named in full has it.
 
 Collision checks: over all distinct entities of the table, no two of a type may share a surrogate and no surrogate may be an
-entity that occurs. Losers take their next attempt until none is left; the few entities with later attempts reach their
-documents by a join that is left out when there are none.
+entity that occurs. Losers take their next attempt until none is left (``ROUNDS`` at most, then it is an error); the few entities with later attempts
+reach their documents by a join that is left out when there are none.
+
+The key is secret: who has it can tell surrogates by trying entities. Sessions set it as ``spark.lumberline.pii.key``; the key in
+this file is for tests.
 
 Limits: phone numbers without a country code are found in the form of three, three and four digits only; secrets need a keyword
 before them, and four letters or digits (after a colon and without quotes also eight characters or a digit).
 
 Defined cases: a null text stays null (and counts no entity), an empty one empty; repeated rows get equal results; an empty table
-gives an empty result; other columns are ignored by ``surrogates`` and kept by ``anonymised``, whatever their names.
+gives an empty result; n_entities counts what the pattern finds, not names without a title; other columns are ignored by ``surrogates`` and kept by ``anonymised``, whatever their names.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import pick, stored
 
 KEY = "lumberline"
+KEY_SETTING = "spark.lumberline.pii.key"
+ROUNDS = 64
 # Words that name a credential, titles by gender, first names by gender and script.
 CREDENTIALS = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "api-key", "access_key")
 MALE_TITLES = ("Mr.", "Mister", "Herr", "Monsieur", "Señor", "Господин", "Κύριος")
 FEMALE_TITLES = ("Mrs.", "Ms.", "Miss", "Frau", "Madame", "Señora", "Госпожа", "Κυρία")
+OTHER_TITLES = ("Dr.", "Prof.", "Doctor", "Professor")
 MALE_NAMES = {"Latin": ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Ivan"), "Cyrillic": ("Антон", "Борис", "Виктор", "Глеб", "Иван", "Максим", "Олег", "Павел"), "Greek": ("Ανδρέας", "Γιώργος", "Δημήτρης", "Ηλίας", "Κώστας", "Νίκος", "Πέτρος", "Σπύρος")}
 FEMALE_NAMES = {"Latin": ("Alma", "Bella", "Clara", "Dora", "Emma", "Flora", "Hanna", "Irma"), "Cyrillic": ("Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга"), "Greek": ("Άννα", "Βασιλική", "Δήμητρα", "Ελένη", "Ζωή", "Ιωάννα", "Μαρία", "Σοφία")}
 SYLLABLES = {"Latin": ("ba", "de", "lo", "mi", "nu", "ra", "so", "ve", "ka", "ti", "go", "fe", "pu", "ly", "wo", "ze"), "Cyrillic": ("ба", "де", "ло", "ми", "ну", "ра", "со", "ве", "ка", "ти", "го", "фе", "пу", "лы", "во", "зе"), "Greek": ("βα", "δε", "λο", "μι", "νυ", "ρα", "σο", "βε", "κα", "τι", "γο", "φε", "πυ", "λη", "ωρ", "ζε")}
@@ -39,7 +50,8 @@ SYLLABLES = {"Latin": ("ba", "de", "lo", "mi", "nu", "ra", "so", "ve", "ka", "ti
 #: Labels with their dots. Where the domain's last dot ends a sentence, it is given back; names have 127 labels at most.
 _LABEL = r"(?:[A-Za-z0-9-]++\.)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_TITLES = "|".join(x.replace(".", r"\.") for x in (*MALE_TITLES, *FEMALE_TITLES))
+TITLES = (*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES)
+_TITLES = "|".join(x.replace(".", r"\.") for x in TITLES)
 #: Of a secret at least four characters must be of a kind that a surrogate moves; with fewer there are too few surrogates.
 _MOVES = r"[A-Za-z0-9а-яА-Я\u4E00-\u9C1F\uAC00-\uD6F7]"
 _SECRET = rf"[^\s\"']{{3,}}(?<=[\p{{L}}\p{{N}}+/_-])"
@@ -61,13 +73,15 @@ PATTERNS = {
     "social": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\w)",
     "address": rf"(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
+    "account": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "address6": r"(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
     "person": rf"(?:{_TITLES}) \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?",
 }
-_TITLE_LETTERS = "".join(sorted({x[0] for x in (*MALE_TITLES, *FEMALE_TITLES)}))
+_TITLE_LETTERS = "".join(sorted({x[0] for x in TITLES}))
 _NUMBERS = "|".join(PATTERNS[x] for x in ("phone", "social", "card", "address"))
 #: But for credentials (DB_PASSWORD=) no entity begins inside a word: that test comes first, and most characters fail it. The first
 #: character picks the branch.
-PATTERN = rf"(?<![A-Za-z0-9_])(?:(?=[0-9+(])(?:{_NUMBERS})|(?=[{_TITLE_LETTERS}]){PATTERNS['person']}|(?=A){PATTERNS['cloud_key']}|{PATTERNS['email']})|(?=[apstAPST]){PATTERNS['credential']}"
+PATTERN = rf"(?<![A-Za-z0-9_])(?:(?=[0-9+(])(?:{_NUMBERS})|(?=[{_TITLE_LETTERS}]){PATTERNS['person']}|(?=A){PATTERNS['cloud_key']}|(?=[A-Z]{{2}}[0-9]){PATTERNS['account']}|(?=[0-9A-Fa-f]{{1,4}}:){PATTERNS['address6']}|{PATTERNS['email']})|(?=[apstAPST]){PATTERNS['credential']}"
 #: Without one of these or a title a text has no entity.
 HINT = "[0-9@=:]"
 _KEYWORD = rf"^(?i:{'|'.join(CREDENTIALS)})[\"']?\s*(?::?=>?|:)\s*[\"']?"
@@ -78,7 +92,7 @@ BLOCKS = ((97, 26), (65, 26), (0x430, 32), (0x410, 32), (0x3B1, 17), (0x391, 17)
 
 
 def _all(text: Column) -> Column:
-    hint = reduce(lambda a, b: a | b, (text.contains(x) for x in (*MALE_TITLES, *FEMALE_TITLES)), text.rlike(HINT))
+    hint = reduce(lambda a, b: a | b, (text.contains(x) for x in TITLES), text.rlike(HINT))
     return F.when(hint, F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))
 
 
@@ -87,10 +101,14 @@ def kind(entity: Column) -> Column:
     return reduce(lambda rest, t: F.when(t[1], t[0]).otherwise(rest), reversed(tests), F.lit("other"))
 
 
+def _gender(title: Column) -> Column:
+    return F.when(title.isin(*MALE_TITLES), "m").when(title.isin(*FEMALE_TITLES), "f").otherwise("n")
+
+
 def canonical(entity: Column, kind: Column) -> Column:
     """What two spellings of an entity share."""
     digits = F.regexp_replace(entity, "[^0-9]", "")
-    return F.when(kind.isin("phone", "social", "card"), digits).when(kind == "email", F.lower(entity)).when(kind == "credential", F.lower(F.regexp_replace(entity, _KEYWORD, ""))).otherwise(entity)
+    return F.when(kind.isin("phone", "social", "card"), digits).when(kind == "email", F.lower(entity)).when(kind == "credential", F.lower(F.regexp_replace(entity, _KEYWORD, ""))).when(kind == "account", F.regexp_replace(entity, " ", "")).when(kind == "address6", F.lower(entity)).when(kind == "person", F.concat(_gender(F.substring_index(entity, " ", 1)), F.regexp_replace(entity, r"^\S+", ""))).otherwise(entity)
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -124,7 +142,7 @@ def _shifted(text: Column, stream: Column) -> Column:
 
 
 def _hexadecimal(text: Column, stream: Column) -> Column:
-    moved = F.transform(F.split(text, ""), lambda c, i: F.lower(F.hex((F.conv(c, 16, 10).cast("int") + 1 + _byte(stream, i) % 15) % 16)))
+    moved = F.transform(F.split(text, ""), lambda c, i: F.when(c == ":", c).otherwise(F.lower(F.hex((F.conv(c, 16, 10).cast("int") + 1 + _byte(stream, i) % 15) % 16))))
     plain = F.array_join(moved, "")
     return F.when(text == F.upper(text), F.upper(plain)).otherwise(plain)
 
@@ -172,12 +190,32 @@ def _person(entity: Column, stream: Column) -> Column:
     """Title kept; a first name of its gender where there are two names; a family name of syllables in the same script."""
     script = _script(F.regexp_replace(entity, r"^\S+ ", ""))
     parts = F.split(entity, " ")
-    first = F.when(parts[0].isin(*FEMALE_TITLES), F.element_at(_list(FEMALE_NAMES, script), 1 + _byte(stream, F.lit(0)) % 8)).otherwise(F.element_at(_list(MALE_NAMES, script), 1 + _byte(stream, F.lit(0)) % 8))
+    gender = _gender(parts[0])
+    female = (gender == "f") | (gender == "n") & (_byte(stream, F.lit(7)) % 2 == 0)
+    first = F.when(female, F.element_at(_list(FEMALE_NAMES, script), 1 + _byte(stream, F.lit(0)) % 8)).otherwise(F.element_at(_list(MALE_NAMES, script), 1 + _byte(stream, F.lit(0)) % 8))
     syllables = _list(SYLLABLES, script)
     family = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.element_at(syllables, 1 + _byte(stream, i) % 16)), ""))
     return F.when(F.size(parts) > 2, F.concat_ws(" ", parts[0], first, family)).otherwise(F.concat_ws(" ", parts[0], family))
 
 
+def _account(entity: Column, stream: Column) -> Column:
+    """Country kept, the rest moved, check digits that fit (the number, turned by four, is 1 modulo 97)."""
+    country, bare = F.left(entity, F.lit(2)), F.regexp_replace(entity, " ", "")
+
+    def rest(acc: Column, c: Column) -> Column:
+        digit = c.rlike("^[0-9]$")
+        return F.when(digit, acc * 10 + F.ascii(c) - 48).otherwise(acc * 100 + F.ascii(c) - 55) % 97
+
+    def checked(body: Column) -> Column:
+        check = F.lpad((98 - F.aggregate(F.split(F.concat(body, country, F.lit("00")), ""), F.lit(0), rest)).cast("string"), 2, "0")
+        letters = F.split(F.concat(country, check, body), "")
+        start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
+        put = lambda acc, c: F.struct(F.concat(acc["out"], F.when(c == " ", c).otherwise(F.element_at(letters, acc["k"]))).alias("out"), (acc["k"] + (c != " ").cast("int")).alias("k"))
+        return F.aggregate(F.split(entity, ""), start, put, lambda acc: acc["out"])
+
+    return _bound(_shifted(bare.substr(F.lit(5), F.length(bare)), stream), checked)
+
+
 def _made(x: Column) -> Column:
     """x: entity, kind and stream."""
     entity, kind, stream = x["entity"], x["kind"], x["stream"]
@@ -196,7 +234,9 @@ def _made(x: Column) -> Column:
         .when(kind == "card", _filled(entity, card))
         .when(kind == "address", F.array_join(octets, "."))
         .when(kind == "person", _person(entity, stream))
-        .otherwise(entity)
+        .when(kind == "account", _account(entity, stream))
+        .when(kind == "address6", _hexadecimal(entity, stream))
+        .otherwise(_shifted(entity, stream))
     )
 
 
@@ -218,7 +258,7 @@ def entities(docs: DataFrame) -> DataFrame:
 def later_attempts(docs: DataFrame, key: str = KEY) -> DataFrame | None:
     """kind, own and attempt of the entities whose first surrogate is taken; None if there are none."""
     known = stored(entities(docs).withColumn("attempt", F.lit(0)), "entities")
-    while True:
+    for _ in range(ROUNDS):
         made = known.withColumn("new", surrogate(F.array(F.struct("entity", "attempt")), key)[0])
         made = stored(made.withColumn("made", canonical(F.col("new"), F.col("kind"))).drop("new"), "surrogates")
         taken = made.groupBy("kind", "made").agg(F.min(F.struct("attempt", "own")).alias("winner"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -229,6 +269,39 @@ def later_attempts(docs: DataFrame, key: str = KEY) -> DataFrame | None:
             late = known.where("attempt > 0").select("kind", "own", "attempt")
             return None if late.isEmpty() else late
         known = stored(known.join(again.withColumn("more", F.lit(1)), ["kind", "own"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("more", F.lit(0))).drop("more"), "entities")
+    raise RuntimeError(f"surrogates still collide after {ROUNDS} attempts")
+
+
+_WORDS = r"(?<!\p{L})(?=\p{L})|(?<=\p{L})(?!\p{L})"
+
+
+def _names(found: Column, made: Column) -> Column:
+    """A document's names and their surrogates, as a map; those of persons named in full come first."""
+    pairs = F.filter(F.zip_with(found, made, lambda a, b: F.struct(F.split(a["entity"], " ").alias("old"), F.split(b, " ").alias("new"))), lambda p: p["old"][0].isin(*TITLES))
+    both = lambda i, p: F.struct(p["old"][i].alias("name"), p["new"][i].alias("to"))
+    size = lambda n: F.filter(pairs, lambda p: F.size(p["old"]) == n)
+    told = F.concat(F.transform(size(3), lambda p: both(2, p)), F.transform(size(3), lambda p: both(1, p)), F.transform(size(2), lambda p: both(1, p)))
+
+    def mapped(told: Column) -> Column:
+        keys = F.array_distinct(F.transform(told, lambda n: n["name"]))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.filter(told, lambda n: n["name"] == k)[0]["to"]))
+
+    return _bound(told, mapped)
+
+
+def _joined(x: Column) -> Column:
+    """x: gaps, found and made. The text again, with surrogates in place of entities and of names that stand without a title."""
+    plain = lambda made: F.array_join(F.flatten(F.zip_with(x["gaps"], F.concat(made, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+
+    def named(names: Column) -> Column:
+        told = lambda word: F.coalesce(F.try_element_at(names, word), word)
+        gaps = F.transform(x["gaps"], lambda g: F.array_join(F.transform(F.split(g, _WORDS), told), ""))
+        alone = lambda a, b: F.when(a["entity"].rlike(rf"^(?:{_TITLES}) \S+$"), F.concat_ws(" ", F.substring_index(a["entity"], " ", 1), told(F.substring_index(a["entity"], " ", -1)))).otherwise(b)
+        made = F.zip_with(x["found"], x["made"], alone)
+        return F.array_join(F.flatten(F.zip_with(gaps, F.concat(made, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+
+    person = F.exists(x["found"], lambda e: e["entity"].rlike(rf"^(?:{_TITLES}) "))
+    return F.when(person, _bound(_names(x["found"], x["made"]), named)).otherwise(plain(x["made"]))
 
 
 def _rewritten(rows: DataFrame, late: DataFrame | None, key: str) -> DataFrame:
@@ -243,12 +316,16 @@ def _rewritten(rows: DataFrame, late: DataFrame | None, key: str) -> DataFrame:
         rows = rows.join(pairs.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("attempts")), "row", "left")
 
     found = F.transform("found", lambda e: F.struct(e.alias("entity"), F.coalesce(F.try_element_at("attempts", e), F.lit(0)).alias("attempt")))
-    gaps = F.split("text", PATTERN, -1)
-    made = F.concat(surrogate(found, key), F.array(F.lit("")))
-    joined = F.array_join(F.flatten(F.zip_with(gaps, made, lambda a, b: F.array(a, b))), "")
+    parts = F.transform(F.array(F.struct(F.split("text", PATTERN, -1).alias("gaps"), found.alias("found"))), lambda x: F.struct(x["gaps"].alias("gaps"), x["found"].alias("found"), surrogate(x["found"], key).alias("made")))[0]
+    joined = _bound(parts, _joined)
     return rows.withColumn("clean", F.when(F.size("found") > 0, joined).otherwise(F.col("text")))
 
 
+def secret(spark: SparkSession) -> str:
+    """The key of the session."""
+    return spark.conf.get(KEY_SETTING, KEY)
+
+
 def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text with surrogates, and n_entities of every row."""
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.struct("doc_id", F.xxhash64("text")))

@@ -11,7 +11,7 @@ from .exact import exact_dedup
 from .extraction import extracted
 from .language import language_id
 from .packing import packed
-from .pii import surrogates
+from .pii import secret, surrogates
 from .quality import quality
 from .repeats import without_repeats
 from .shared import table
@@ -33,7 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": lambda spark, d: exact_dedup(table(spark, d, "documents")),
     "op6_simhash_dedup": lambda spark, d: near_duplicates(table(spark, d, "documents")),
     "op7_url_filter": lambda spark, d: url_filter(table(spark, d, "pages")),
-    "op8_pii_surrogates": lambda spark, d: surrogates(table(spark, d, "documents")),
+    "op8_pii_surrogates": lambda spark, d: surrogates(table(spark, d, "documents"), secret(spark)),
     "op9_language_id": lambda spark, d: language_id(table(spark, d, "documents")),
     "op10_quality_rules": lambda spark, d: quality(table(spark, d, "documents")),
 }
