@@ -3,9 +3,11 @@
 A text is cut at the vocabulary's added tokens, then into pieces by its pattern. Within a piece the symbols form a doubly linked
 list; a priority queue holds the merge ranks of neighbours, the least rank and of equal ranks the leftmost first, and an entry
 whose neighbours have changed since is stale and skipped. Decoding concatenates the vocabulary's byte strings. Pieces recur, so
-that each worker remembers those it has merged, up to ``REMEMBERED`` of them, then starts anew; results never depend on it.
+that each worker remembers those it has merged, up to ``REMEMBERED`` of them and none over ``SHORT`` characters (which bounds the
+bytes that it holds), then starts anew; results never depend on it.
 
-The vocabulary file is a parameter: it is read on the driver and broadcast, and its size doesn't depend on the input.
+The vocabulary file is a parameter: it is read on the driver and broadcast, and its size doesn't depend on the input. Files with
+another kind of model, normaliser or splitting than byte-level BPE's are refused with ValueError.
 
 Defined cases: a null text counts as empty and has no tokens; very long pieces take n log n steps; repeated rows get equal
 results; an empty table gives an empty result; other columns are ignored whatever their names.
@@ -18,7 +20,6 @@ import json
 import struct
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,17 @@ from pyspark.sql import functions as F
 from .shared import pick
 
 REMEMBERED = 600_000
+SHORT = 32
 TOKENS = 1 << 18
 # Fixed value: the pattern of byte-level BPE.
-PIECES = r"'(?:[stmd]|re|ve|ll)| ?+(?:\p{L}++|\p{N}++|[^\p{White_Space}\p{L}\p{N}]++)|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+PIECES = r" ?\p{L}+|'(?:[stmd]|re|ve|ll)| ?(?:\p{N}+|[^\p{White_Space}\p{L}\p{N}]+)|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+
+
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(33)]
 
 
 def packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
 
 def byte_letters() -> dict[str, int]:
@@ -52,7 +57,10 @@ class Bpe(dict):
         super().__init__()
         self.spec = spec
         told = json.loads(spec)
-        model, letters = told["model"], byte_letters()
+        model, letters, split = told["model"], byte_letters(), told.get("pre_tokenizer") or {}
+        plain = model.get("type", "BPE") == "BPE" and not told.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        if not plain or any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "dropout")):
+            raise ValueError("the file's model is not plain byte-level BPE")
         vocab = model["vocab"]
         self.strings = [b""] * (1 + max([*vocab.values(), *(t["id"] for t in told["added_tokens"])]))
         for word, i in vocab.items():
@@ -60,10 +68,12 @@ class Bpe(dict):
         self.added = {t["content"]: t["id"] for t in told["added_tokens"]}
         for word, i in self.added.items():
             self.strings[i] = word.encode()
-        self.single = {letters[w]: i for w, i in vocab.items() if len(w) == 1}
+        single = {letters[w]: i for w, i in vocab.items() if len(w) == 1}
+        self.single = [single.get(b, -1) for b in range(256)]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.bits = len(self.strings).bit_length()
-        self.merges = {vocab[a] << 32 | vocab[b]: rank << self.bits | vocab[a + b] for rank, (a, b) in enumerate(pairs, 1)}
+        self.merges = {vocab[a] << self.bits | vocab[b]: rank << self.bits | vocab[a + b] for rank, (a, b) in enumerate(pairs, 1)}
+        self.starts = {bytes((letters[x], letters[y])): self.merges.get(vocab[x] << self.bits | vocab[y], 0) for x in letters for y in letters if x in vocab and y in vocab}
         self.find = regex.compile(PIECES).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
 
@@ -71,39 +81,56 @@ class Bpe(dict):
         return Bpe, (self.spec,)
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[piece] = packed(self.merged(piece.encode("utf-8", "surrogatepass")))
+        found = packed(self.merged(piece.encode("utf-8", "surrogatepass")))
+        if len(piece) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = found
         return found
 
     def merged(self, piece: bytes) -> list[int]:
-        """A queue entry is rank << 32 | position; a merge is rank << bits | id."""
-        look, bits, n = self.merges.get, self.bits, len(piece)
-        symbol = list(map(self.single.__getitem__, piece))
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(merge >> bits) << 32 | i for i, (a, b) in enumerate(pairwise(symbol)) if (merge := look(a << 32 | b))]
+        """Symbols after all merges. A merge is rank << bits | id, a queue entry merge << places | position of its left symbol.
+
+        ``wanted`` has the merge of each symbol with the next as it is now: an entry that differs from it is stale.
+        """
+        n, bits, look = len(piece), self.bits, self.merges.get
+        if n == 1:
+            return [self.single[piece[0]]]
+        symbol = [self.single[b] for b in piece]
+        first = self.starts
+        wanted = [first[piece[i : i + 2]] for i in range(n - 1)]
+        wanted.append(0)
+        places = n.bit_length()
+        queue = [m << places | i for i, m in enumerate(wanted) if m]
         heapify(queue)
-        low = (1 << bits) - 1
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        low, here = (1 << bits) - 1, (1 << places) - 1
         while queue:
             entry = heappop(queue)
-            i = entry & 0xFFFFFFFF
-            j = after[i]
-            if j >= n or symbol[i] < 0:
+            i, merge = entry & here, entry >> places
+            if wanted[i] != merge:
                 continue
-            merge = look(symbol[i] << 32 | symbol[j])
-            if merge is None or merge >> bits != entry >> 32:
-                continue  # stale: one of the two has merged with another neighbour
             new = symbol[i] = merge & low
-            symbol[j] = -1
+            j = after[i]
+            wanted[j] = 0
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if merge := look(new << 32 | symbol[k]):
-                    heappush(queue, (merge >> bits) << 32 | i)
+                merge = wanted[i] = look(new << bits | symbol[k], 0)
+                if merge:
+                    heappush(queue, merge << places | i)
+            else:
+                wanted[i] = 0
             h = before[i]
-            if h >= 0 and (merge := look(symbol[h] << 32 | new)):
-                heappush(queue, (merge >> bits) << 32 | h)
-        return [s for s in symbol if s >= 0]
+            if h >= 0:
+                merge = wanted[h] = look(symbol[h] << bits | new, 0)
+                if merge:
+                    heappush(queue, merge << places | h)
+        out, i = [], 0
+        while i < n:
+            out.append(symbol[i])
+            i = after[i]
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids of the text, packed."""

@@ -4,7 +4,8 @@ Copies meet in three stages, and each stage groups by the whole normalised text
 different texts never merge:
 
 1. local: the partial aggregate of stage 2 leaves one row per text and input task before anything moves;
-2. salted: groups of (digest, salt) spread a text with any number of copies over ``salts`` reducers;
+2. salted: groups of (digest, salt), the salt being the input task's number, spread a text with any number of copies over ``salts``
+   reducers;
 3. global: the at most ``salts`` winners of a text combine to the smallest doc_id and the size of the group.
 
 Texts travel once for stage 2 and once, without copies, for stage 3. Members find their class by digest, length and a second
@@ -41,7 +42,7 @@ def _keyed(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
 
 def classes(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per distinct normalised text: digest, second, size, keep_id, group_size."""
-    salted = _keyed(docs, digest).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    salted = _keyed(docs, digest).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))  # one row a text and input task, whatever the ids
     winners = salted.groupBy("digest", "second", "size", "salt", "body").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("n"))
     whole = winners.groupBy("digest", "second", "size", "body").agg(F.min("lead").alias("keep_id"), F.sum("n").alias("group_size"))
     return whole.drop("body")
@@ -56,7 +57,7 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column],
 
 
 def without_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows that stay, with their columns. Of rows repeated with the same doc_id and text one stays."""
+    """The rows that stay, with their columns. Of rows repeated with the same doc_id and text the one with the least other columns stays (as JSON)."""
     none = F.lit(-(2**63))
     kept = classes(docs, salts).select(F.coalesce("keep_id", none).alias("id"), "digest", "second").distinct()
     kept = stored(kept, "exact")
@@ -64,5 +65,7 @@ def without_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     body = normalised(F.col(f"c{names.index('text')}"))
     keyed = plain.withColumns({"id": F.coalesce(F.col(f"c{names.index('doc_id')}").cast("long"), none), "digest": sha256(body), "second": F.xxhash64(body)})
-    found = keyed.join(kept.hint("merge"), ["id", "digest", "second"], "left_semi").dropDuplicates(["id", "digest", "second"])
+    whole = F.struct(*(f"c{i}" for i in range(len(names))))
+    others = F.to_json(F.struct(*(f"c{i}" for i, n in enumerate(names) if n != "text")))
+    found = keyed.join(kept.hint("merge"), ["id", "digest", "second"], "left_semi").groupBy("id", "digest", "second").agg(F.min_by(whole, others).alias("row")).select("row.*")
     return found.select(*(F.col(f"c{i}") for i in range(len(names)))).toDF(*names)

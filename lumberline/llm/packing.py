@@ -5,7 +5,7 @@ source nor its duplicate cluster: the successor search starts at the smallest re
 bin, until one is compatible; the bins' bitmaps of sources and clusters decide. A new bin opens only if no bin is.
 
 A document over the capacity fills bins of its own with whole pieces, and its rest is packed. Rows are dealt to shards by a hash
-of doc_id, about ``shard_rows`` in each, and every shard is packed in one task from (doc_id, tokens, source, cluster) alone: its
+of doc_id, source and cluster (so that null or repeated ids gather nowhere), about ``shard_rows`` in each, and every shard is packed in one task from (doc_id, tokens, source, cluster) alone: its
 memory is bounded whatever the sources and clusters, and a source with a third of all rows is spread over all shards.
 
 Sizes are tokens of a vocabulary where ``vocabulary`` is given (its path). Without it, and without ``tokens``, they are an
@@ -99,7 +99,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_RO
     size = F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / BYTES_A_TOKEN) if tokens is None else tokens
     group = F.xxhash64(normalised(F.col("text"))) if cluster is None else cluster
     shards = max(1, -(-docs.count() // shard_rows))
-    small = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), group.cast("long").alias("cluster"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("long").alias("shard")]
+    small = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), group.cast("long").alias("cluster"), F.pmod(F.xxhash64(F.col("doc_id"), F.col("source"), group), F.lit(shards)).cast("long").alias("shard")]
     small = rows.select(*small, size.cast("long").alias("n_tokens")) if vocabulary is None else counted(rows.select(*small, "text"), vocabulary)
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:

@@ -3,15 +3,17 @@
 A rule names a host (and all its subdomains) and a path prefix; the longest rule that fits decides. Other pages get the verdict of
 their host. Seeds come from the rules: a host's trust is the share of its pages that rules allow, its distrust the share that
 they block. A host without pages that links lead to is judged by those links: the shares that rules allow and block. Trust spreads as personalised PageRank, forward along the links between hosts; distrust spreads the same way along
-the reversed links, to hosts that link to blocked ones. Both are sums of damped walks from the seeds (PageRank without its last
-division, which would not change which is greater), so that they compare with the seeds' shares. A host is blocked where
-distrust is at least ``THRESHOLD`` and greater than trust.
+the reversed links, to hosts that link to blocked ones. Both are personalised PageRank in the scale of the seeds: values are divided by
+(1 - damping), so that a host without links has its own share, and not by the sum of all seeds, so that a verdict depends on a
+host's surroundings and not on how many seeds the whole crawl has. Rounds end when no value moves by ``SETTLED`` or more, or at
+``ROUNDS`` (damping leaves under a thousandth of the seeds to later walks). A host is blocked where distrust is at least
+``THRESHOLD`` and greater than trust.
 
 Links are absolute links of the pages' html to other hosts, weighted by number. Rounds are joins of host tables in Spark, written
 to the shared folder every few rounds; nothing of the graph reaches the driver.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and no rule, and its verdict is that of the empty
-host; null html has no links; without links the seeds alone decide; repeated rows count one by one; an empty table gives an
+host; null html has no links; hosts without links keep their seeds' values; repeated rows count one by one; an empty table gives an
 empty result; other columns are ignored whatever their names.
 """
 
@@ -22,12 +24,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pick, stored
+from .shared import discard, pick, stored
 
 #: verdict, host, path prefix
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING = 0.85
-ROUNDS = 20
+ROUNDS = 50
+SETTLED = 1e-4
 THRESHOLD = 0.5
 STORE_EVERY = 5
 LINK = r"""(?i)\shref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>][^"'\s<>]*)"""
@@ -72,12 +75,19 @@ def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: fl
     """host and value: the sum of damped walks from the seeds (host, value) along edges (src, dst, n)."""
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     steps = stored(edges.join(out, "src").select("src", "dst", (F.lit(damping) * F.col("n") / F.col("all")).alias("share")), "steps")
-    value = stored(seeds.where("value > 0"), "spread")
+    value = before = stored(seeds.where("value > 0"), "spread")
     for i in range(rounds):
         moved = value.join(steps, value.host == steps.src).select(F.col("dst").alias("host"), (F.col("value") * F.col("share")).alias("value"))
         value = moved.unionByName(seeds).groupBy("host").agg(F.sum("value").alias("value")).where("value > 0")
-        if (i + 1) % STORE_EVERY == 0:
+        if (i + 1) % STORE_EVERY == 0 or i + 1 == rounds:
             value = stored(value, "spread")
+            moved = value.join(before.withColumnRenamed("value", "old"), "host", "left").where(F.abs(F.col("value") - F.coalesce("old", F.lit(0.0))) >= SETTLED)
+            done = moved.isEmpty()
+            discard(before)
+            before = value
+            if done:
+                break
+    discard(steps)
     return value
 
 
@@ -91,9 +101,8 @@ def url_filter(pages: DataFrame, rules: tuple = RULES, threshold: float = THRESH
     judged = own.unionByName(linked).groupBy("host").agg(F.max(F.struct("own", "n", "allow", "block")).alias("by"))  # pages before links
     hosts = stored(judged.select("host", (F.col("by.allow") / F.col("by.n")).alias("trust"), (F.col("by.block") / F.col("by.n")).alias("distrust")), "hosts")
     trust, distrust = hosts.select("host", F.col("trust").alias("value")), hosts.select("host", F.col("distrust").alias("value"))
-    if not edges.isEmpty():
-        trust = spread(trust, edges)
-        distrust = spread(distrust, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
+    trust = spread(trust, edges)
+    distrust = spread(distrust, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     scores = reduce(lambda a, b: a.join(b, "host", "left"), (hosts.select("host"), trust.withColumnRenamed("value", "trust"), distrust.withColumnRenamed("value", "distrust")))
     bad = (F.coalesce("distrust", F.lit(0.0)) >= threshold) & (F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0)))
     told = scores.select("host", F.when(bad, "block").otherwise("allow").alias("told"))
