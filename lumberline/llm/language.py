@@ -4,7 +4,8 @@ Letters of the lower-cased text stay, every run of other characters becomes one
 hashed to ``buckets`` counters. Training counts n-grams per language in Spark over a bounded, documented sample of labelled
 rows (``per_lang`` rows of each language in expectation, all where there are fewer, chosen by a hash of doc_id). The matrix of
 log probabilities has at most ``max_langs`` x ``buckets`` cells, a bound that does not grow with the input, and is broadcast;
-scoring gathers and sums its cells in numpy, over whole texts, in pieces of bounded size.
+scoring takes the texts of an Arrow batch as sparse rows of n-grams and gathers and sums the matrix's cells in numpy, over whole texts,
+in pieces of bounded size.
 
 Defined cases: a null or empty text, or one without any letter, is ``und`` with score 0; with no labelled row at all every text
 is ``und``; ties go to the first language in alphabetical order; more than ``max_langs`` languages raise ValueError; other
@@ -85,15 +86,35 @@ class Model:
     def __init__(self, langs: list[str], weights: np.ndarray, prior: np.ndarray):
         self.langs, self.weights, self.prior = langs, weights, prior
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        cp = codes(text) if text else np.empty(0, np.uint32)
-        if not len(cp) or not self.langs:
-            return UND, 0.0
-        total = self.prior.copy()
-        for at in _pieces(cp, self.weights.shape[1]):
-            total += [float(np.take(w, at).sum(dtype=np.float64)) for w in self.weights]
-        best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text: sparse rows of n-grams, one after the other, times the matrix, in pieces of bounded size."""
+        rows, parts, held = [], [], 0
+        told = np.zeros(len(texts), bool)
+        totals = np.tile(self.prior, (len(texts), 1))
+
+        def multiply() -> None:
+            nonlocal rows, parts, held
+            if held:
+                first = np.cumsum([0, *(len(p) for p in parts[:-1])])
+                at = np.concatenate(parts)
+                for k, weights in enumerate(self.weights):
+                    np.add.at(totals[:, k], rows, np.add.reduceat(np.take(weights, at), first, dtype=np.float64))
+            rows, parts, held = [], [], 0
+
+        for i, text in enumerate(texts if self.langs else ()):
+            cp = codes(text) if text else ()
+            told[i] = len(cp) > 0
+            for at in _pieces(cp, self.weights.shape[1]) if told[i] else ():
+                if len(at):
+                    rows.append(i)
+                    parts.append(at)
+                    held += len(at)
+                if held >= PIECE:
+                    multiply()
+        multiply()
+        best = totals.argmax(axis=1) if self.langs else np.zeros(len(texts), np.int64)
+        scores = 1 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1) if self.langs and len(texts) else np.zeros(len(texts))
+        return [(self.langs[b], float(s)) if t else (UND, 0.0) for t, b, s in zip(told.tolist(), best.tolist(), scores.tolist(), strict=True)]
 
 
 def train(docs: DataFrame, buckets: int = BUCKETS, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> Model:
@@ -137,7 +158,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shared.value.predict(t.as_py()) for t in b["text"]]
+            found = shared.value.predict(b["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
@@ -157,7 +178,7 @@ def identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = (shared.value.predict(t.as_py()) for t in b[f"c{at}"])
+            found = shared.value.predict(b[f"c{at}"].to_pylist())
             yield b.filter(pa.array([lang != UND and not math.isnan(s) and s >= least for lang, s in found], pa.bool_()))
 
     return plain.mapInArrow(choose, plain.schema).toDF(*names)

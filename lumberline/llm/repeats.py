@@ -16,12 +16,17 @@ consecutive strings with the same anchor position form a run, and its context is
    lie in many shards: each shard's sorted distinct strings are exchanged and merged by binary search.
 3. Decided strings meet their documents, and the uncovered bytes remain.
 
+Tasks are as many as the input's bytes ask for (``TASK_BYTES`` in each, from the plan's statistics), so that none grows with the input.
+A document's spots are collected to its row: they are at most as many as its text has bytes.
+
+Places carry their text in their upper bits, a hash of ``VARIANT_BITS``, so that texts of one doc_id stay apart.
+
 Steps 1 and 2 end in the shared folder. Contexts compare by a 64-bit hash next to the 64-bit hash of their gram, contested ones byte
 by byte.
 
 Defined cases: a null text counts as empty; texts under 50 bytes keep all; a string repeated inside one document only is kept;
-repeated rows of one doc_id must repeat its text, and count as one document; a null doc_id is never smaller and nothing is
-smaller than it, so its row keeps all; an empty table gives an empty result; other columns are ignored whatever their names.
+rows of one doc_id are one document with several texts: none is smaller than another, each is judged alone, and equal ones alike; a
+null doc_id is never smaller and nothing is smaller than it, so its row keeps all; an empty table gives an empty result; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import pick, stored
@@ -45,7 +50,11 @@ RUNS = 1 << 20
 BUCKETS = 8
 UNDECIDED, UNDECIDED_HOT, DECIDED, CONTESTED, CONTESTED_HOT = range(5)
 RUN = np.dtype([("gram", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("n", "u1"), ("kind", "u1"), ("left", "<u2"), ("right", "<u2")])
-SHARDS = 32
+SHARDS = 4
+TASK_BYTES = 8 << 20
+TASKS_MOST = 1 << 16
+PLACE_BITS, VARIANT_BITS = 40, 23
+PLACE = (1 << PLACE_BITS) - 1
 TOGETHER = 1 << 18
 
 
@@ -160,13 +169,14 @@ def found_runs(batches: Iterator[pa.RecordBatch], buckets: int, hot: int = HOT)
         yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "runs"])
 
     for b in batches:
-        for doc, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
+        bases = b["base"].to_pylist() if "base" in b.schema.names else [0] * len(b)
+        for doc, text, base in zip(b["doc_id"].to_pylist(), b["text"], bases, strict=True):
             whole = (text.as_py() or "").encode("utf-8", "surrogatepass")
             for start in range(0, max(0, len(whole) - LENGTH + 1), PIECE - LENGTH + 1):
                 piece = whole[start : start + PIECE]
                 if size + len(piece) > PIECE:
                     take()
-                docs.append((doc, start))
+                docs.append((doc, base + start))
                 texts.append(piece)
                 size += len(piece)
                 if held > RUNS:
@@ -241,7 +251,7 @@ def cut_contexts(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.
             gram = fields.field("gram").to_numpy(zero_copy_only=False).view(np.uint64)
             salt = mix(np.full(len(gram), doc, np.int64).view(np.uint64))
             shard = (np.where(hot, mix(gram ^ salt), gram) % np.uint64(shards)).astype(np.int64)
-            bodies = [whole[s : s + k + LENGTH - 1] for s, k in zip(start.tolist(), n.tolist(), strict=True)]
+            bodies = [whole[s : s + k + LENGTH - 1] for s, k in zip((start & PLACE).tolist(), n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array([doc] * len(start), pa.int64()), pa.array(start), pa.array(hot), pa.array(bodies, pa.binary())], ["shard", "doc", "start", "hot", "body"])
 
 
@@ -359,22 +369,38 @@ def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """doc, start and n: from start on, n consecutive strings of LENGTH bytes also start in a smaller document."""
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, shards = BUCKETS * partitions, SHARDS * partitions
-    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    packed = texts.mapInArrow(lambda it: found_runs(it, buckets), "bucket long, runs binary").repartition("bucket").sortWithinPartitions("bucket")
+    tasks = tasks_for(docs)
+    buckets, shards = BUCKETS * tasks, SHARDS * tasks
+    texts = _texts(docs).where("doc_id is not null")
+    packed = texts.mapInArrow(lambda it: found_runs(it, buckets), "bucket long, runs binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     runs = stored(packed.mapInArrow(settled_runs, "doc long, start long, n long, kind int, gram long"), "runs")
-    spots = runs.where(F.col("kind") > DECIDED).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "n", "gram", (F.col("kind") == CONTESTED_HOT).alias("hot"))).alias("spots"))
-    cut = texts.join(spots, "doc_id").mapInArrow(lambda it: cut_contexts(it, shards), "shard long, doc long, start long, hot boolean, body binary")
-    told = cut.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda it: sharded(it, buckets), "bucket long, doc long, start long, n long, strings binary")
+    spots = runs.where(F.col("kind") > DECIDED).groupBy(F.col("doc").alias("doc_id"), _base().alias("base")).agg(F.collect_list(F.struct("start", "n", "gram", (F.col("kind") == CONTESTED_HOT).alias("hot"))).alias("spots"))
+    cut = texts.join(spots, ["doc_id", "base"]).mapInArrow(lambda it: cut_contexts(it, shards), "shard long, doc long, start long, hot boolean, body binary")
+    told = cut.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(lambda it: sharded(it, buckets), "bucket long, doc long, start long, n long, strings binary")
     told = stored(told, "shards")
-    across = told.where("bucket is not null").select("bucket", "strings").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merged_shards, "doc long, start long, n long")
+    across = told.where("bucket is not null").select("bucket", "strings").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(merged_shards, "doc long, start long, n long")
     return runs.where(F.col("kind") == DECIDED).select("doc", "start", "n").unionByName(told.where("bucket is null").select("doc", "start", "n")).unionByName(across)
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    variant = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << VARIANT_BITS) - 1))
+    return rows.withColumn("base", F.shiftleft(variant, PLACE_BITS))
+
+
+def _base() -> Column:
+    return F.col("start").bitwiseAND(F.lit(~PLACE))
+
+
+def tasks_for(docs: DataFrame) -> int:
+    """Tasks for the bytes that the plan's statistics give; the session's number where they know none (they say 2**63 - 1 then)."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    own = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return own if size >= 1 << 60 else max(own, min(TASKS_MOST, size // TASK_BYTES))
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    spots = repeated_starts(docs).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "n")).alias("spots"))
-    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(spots, "doc_id", "left").mapInArrow(cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    place = F.col("start").bitwiseAND(F.lit(PLACE)).alias("start")
+    spots = repeated_starts(docs).groupBy(F.col("doc").alias("doc_id"), _base().alias("base")).agg(F.collect_list(F.struct(place, "n")).alias("spots"))
+    return _texts(docs).join(spots, ["doc_id", "base"], "left").drop("base").mapInArrow(cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

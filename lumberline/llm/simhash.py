@@ -7,7 +7,9 @@ A fingerprint is two words of 32 bits. Of two fingerprints at most 3 bits apart
 fingerprint emits, for either word, the word and all its variants within half the radius (66 rows of 17 bytes, against 2,081
 for a ball of two flips over 64 bits); rows meet by a shuffle on (which word, variant) and colliding fingerprints are
 verified on all 64 bits. A bucket gives a spanning set of its links, never its pairs: small buckets compare members in numpy,
-large ones hash balls over the other word (radius 1 against radius 2), which takes a time in proportion to the bucket.
+large ones hash balls over the other word (radius 1 against radius 2), which takes a time in proportion to the bucket; both are
+exact. A bucket is held as 17 bytes for each distinct fingerprint that shares its word: n fingerprints spread evenly give buckets of
+33 n / 2**32 members a side, some 800 at 10**11.
 Only distinct fingerprints travel, so that copies cost nothing here. Components come from alternating large-star and
 small-star rounds in Spark, each stored in the shared folder; neither links nor labels reach the driver.
 
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pick, stored
+from .shared import discard, pick, stored
 
 RADIUS = 3
 SHINGLE = 3
@@ -155,7 +157,7 @@ def bucket_links(fp: np.ndarray, exact: np.ndarray, side: int, direct: int = DIR
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each bucket; rows come sorted by key, and a bucket may span batches."""
-    key, fp, exact = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def links(key: np.ndarray, fp: np.ndarray, exact: np.ndarray) -> pa.RecordBatch:
         first = np.concatenate(([True], key[1:] != key[:-1])).nonzero()[0]
@@ -173,22 +175,34 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
+    def whole() -> pa.RecordBatch:
+        return links(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
     for batch in batches:
-        key = np.concatenate([key, batch["key"].to_numpy(zero_copy_only=False)])
-        fp = np.concatenate([fp, batch["fp"].to_numpy(zero_copy_only=False).view(np.uint64)])
-        exact = np.concatenate([exact, batch["exact"].to_numpy(zero_copy_only=False)])
-        if len(key):
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut:
-                yield links(key[:cut], fp[:cut], exact[:cut])
-                key, fp, exact = key[cut:], fp[cut:], exact[cut:]
-    if len(key):
-        yield links(key, fp, exact)
+        if not len(batch):
+            continue
+        key = batch["key"].to_numpy(zero_copy_only=False)
+        fp = batch["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
+        exact = batch["exact"].to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(key, key[-1])) if not held or key[-1] != held[-1][0][-1] else 0
+        if held and (cut or key[0] != held[-1][0][-1]):  # the last bucket held ends before the last one of this batch
+            held.append((key[:cut], fp[:cut], exact[:cut]))
+            yield whole()
+            held = []
+        elif cut:
+            yield links(key[:cut], fp[:cut], exact[:cut])
+        held.append((key[cut:], fp[cut:], exact[cut:]))
+    if held:
+        yield whole()
 
 
 def near_links(fps: DataFrame) -> DataFrame:
-    """Distinct links (a > b) between distinct fingerprints; they span every component."""
-    balls = fps.select("fp").distinct().mapInArrow(_balls, "key long, fp long, exact boolean")
+    """Distinct links (a > b) between distinct fingerprints; they span every component.
+
+    Distinct fingerprints are few bytes, and adaptive execution would leave them in few tasks; balls are many: they are dealt anew.
+    """
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    balls = fps.select("fp").distinct().repartition(tasks, "fp").mapInArrow(_balls, "key long, fp long, exact boolean")
     met = balls.repartition("key").sortWithinPartitions("key")
     return met.mapInArrow(_meet, "a long, b long").distinct()
 
@@ -206,10 +220,13 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         large = stored(large, "large-star")
+        old = edges
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         turned = large.join(least, "a")
         small = turned.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = stored(small.distinct(), "small-star")
+        discard(old)
+        discard(large)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

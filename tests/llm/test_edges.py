@@ -77,3 +77,65 @@ def test_shared_folder(spark):
     shared.discard(df)
     with pytest.raises(Exception):
         spark.read.parquet(df.stored_at)
+
+
+def test_texts_of_one_id_are_judged_alone(spark):
+    """Rows that share a doc_id with other texts, against brute force over all rows."""
+    import hashlib
+
+    from lumberline.llm import repeats
+
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdef ") for _ in range(200)) for _ in range(5)]
+    rows = [(rng.randrange(25), rng.choice(base)[: rng.randrange(40, 200)] + "".join(rng.choice("xyz") for _ in range(rng.randrange(60))), None, None) for _ in range(80)]
+    rows += [(9, "tiny", None, None), (9, base[0], None, None), (3, base[0] + "!", None, None), (9, base[0], None, None), (None, base[0], None, None)]
+    first = {}
+    for i, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        b = t.encode()
+        for p in range(len(b) - 49):
+            first.setdefault(b[p : p + 50], i)
+    want = []
+    for i, t, *_ in rows:
+        b = t.encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49 if i is not None else 0):
+            if first[b[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        kept = bytes(x for x, y in zip(b, gone, strict=True) if not y)
+        want.append((-1 if i is None else i, len(b), sum(gone), sum(1 for k, x in enumerate(gone) if x and not (k and gone[k - 1])), hashlib.sha256(kept).hexdigest()))
+    got = repeats.without_repeats(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in got) == sorted(want)
+
+
+def test_meet_over_any_batches():
+    """The links of buckets don't depend on where batches are cut."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lumberline.llm import simhash
+
+    rng = random.Random(5)
+    centres = [rng.getrandbits(64) for _ in range(3)]
+    fps = np.array(sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5))) for c in centres for _ in range(40)}), dtype=np.uint64)
+    rows = pa.Table.from_batches(simhash._balls(iter([pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64))], ["fp"])]))).sort_by("key").combine_chunks().to_batches()[0]
+    seen = []
+    for size in (1, 3, 64, 1000, len(rows)):
+        cut = [rows.slice(i, size) for i in range(0, len(rows), size)]
+        found = {(a, b) for x in simhash._meet(iter(cut)) for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist(), strict=True)}
+        seen.append(found)
+    assert all(x == seen[0] for x in seen) and seen[0]
+
+
+def test_language_batches_agree():
+    """Scores of texts together and one by one."""
+    import numpy as np
+
+    from lumberline.llm import language
+
+    rng = np.random.default_rng(1)
+    model = language.Model(["a", "b", "c"], rng.normal(size=(3, 1 << 10)).astype(np.float32), np.log(np.array([0.2, 0.3, 0.5])))
+    texts = ["one two", None, "", "12 !", "x", "lorem ipsum " * 500, "ä", "the end"]
+    together, alone = model.predict(texts), [model.predict([t])[0] for t in texts]
+    assert [x for x, _ in together] == [x for x, _ in alone] and np.allclose([x for _, x in together], [x for _, x in alone])
+    assert [together[i] for i in (1, 2, 3)] == [("und", 0.0)] * 3 and model.predict([]) == []
+    assert language.Model([], np.empty((0, 1 << 10), np.float32), np.empty(0)).predict(["a", None]) == [("und", 0.0)] * 2
