@@ -1,7 +1,12 @@
 """A corpus pipeline: language ID, exact duplicates, near duplicates, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame; run() writes each
-stage's result as Parquet in the shared folder and rereads it as the next one's docs.
+stage's result as Parquet in the shared folder and rereads it as the next one's docs; a stage's result is deleted when its
+successor's is written.
+
+Defined cases: rows with a null text, or without a letter, go in the first stage; a null doc_id stays only where its text has no
+other; rows with the same doc_id and text leave one (the least by its other columns); extra columns are carried to the last stage;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lumberline.llm.exact import without_copies
 from lumberline.llm.language import identified, train
 from lumberline.llm.packing import packed
-from lumberline.llm.pii import anonymised
-from lumberline.llm.shared import stored, table
+from lumberline.llm.pii import anonymised, secret
+from lumberline.llm.shared import discard, stored, table
 from lumberline.llm.simhash import without_near_copies
 
 
@@ -30,7 +35,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return anonymised(docs)
+    return anonymised(docs, secret(spark))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not docs and hasattr(before, "stored_at"):
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
