@@ -4,7 +4,7 @@ A text is cut at the vocabulary's added tokens, then into pieces by its pattern.
 list; a priority queue holds the merge ranks of neighbours, the least rank and of equal ranks the leftmost first, and an entry
 whose neighbours have changed since is stale and skipped. Decoding concatenates the vocabulary's byte strings. Pieces recur, so
 that each worker remembers those it has merged, up to ``REMEMBERED`` of them and none over ``SHORT`` characters (which bounds the
-bytes that it holds), then starts anew; results never depend on it.
+bytes that it holds), the younger half in full and of the older half those that recur; results never depend on it.
 
 The vocabulary file is a parameter: it is read on the driver and broadcast, and its size doesn't depend on the input. Files with
 another kind of model, normaliser or splitting than byte-level BPE's are refused with ValueError.
@@ -20,6 +20,7 @@ import json
 import struct
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .shared import pick
 
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 SHORT = 32
 TOKENS = 1 << 18
 # Fixed value: the pattern of byte-level BPE.
@@ -55,7 +56,7 @@ class Bpe(dict):
 
     def __init__(self, spec: str):
         super().__init__()
-        self.spec = spec
+        self.spec, self.older = spec, {}
         told = json.loads(spec)
         model, letters, split = told["model"], byte_letters(), told.get("pre_tokenizer") or {}
         plain = model.get("type", "BPE") == "BPE" and not told.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
@@ -73,7 +74,7 @@ class Bpe(dict):
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.bits = len(self.strings).bit_length()
         self.merges = {vocab[a] << self.bits | vocab[b]: rank << self.bits | vocab[a + b] for rank, (a, b) in enumerate(pairs, 1)}
-        self.starts = {bytes((letters[x], letters[y])): self.merges.get(vocab[x] << self.bits | vocab[y], 0) for x in letters for y in letters if x in vocab and y in vocab}
+        self.starts = [[self.merges.get(a << self.bits | b, 0) if a >= 0 <= b else 0 for b in self.single] for a in self.single]
         self.find = regex.compile(PIECES).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
 
@@ -81,11 +82,15 @@ class Bpe(dict):
         return Bpe, (self.spec,)
 
     def __missing__(self, piece: str) -> bytes:
-        found = packed(self.merged(piece.encode("utf-8", "surrogatepass")))
-        if len(piece) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = found
+        found = self.older.get(piece)
+        if found is None:
+            found = packed(self.merged(piece.encode("utf-8", "surrogatepass")))
+            if len(piece) > SHORT:
+                return found
+        if len(self) >= REMEMBERED // 2:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = found
         return found
 
     def merged(self, piece: bytes) -> list[int]:
@@ -93,16 +98,15 @@ class Bpe(dict):
 
         ``wanted`` has the merge of each symbol with the next as it is now: an entry that differs from it is stale.
         """
-        n, bits, look = len(piece), self.bits, self.merges.get
-        if n == 1:
-            return [self.single[piece[0]]]
-        symbol = [self.single[b] for b in piece]
-        first = self.starts
-        wanted = [first[piece[i : i + 2]] for i in range(n - 1)]
-        wanted.append(0)
+        n, bits, look, starts, single = len(piece), self.bits, self.merges.get, self.starts, self.single
+        symbol = [single[b] for b in piece]
+        wanted = [starts[a][b] for a, b in pairwise(piece)]
         places = n.bit_length()
         queue = [m << places | i for i, m in enumerate(wanted) if m]
+        if not queue:
+            return symbol
         heapify(queue)
+        wanted.append(0)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         low, here = (1 << bits) - 1, (1 << places) - 1
         while queue:
@@ -112,25 +116,21 @@ class Bpe(dict):
                 continue
             new = symbol[i] = merge & low
             j = after[i]
-            wanted[j] = 0
+            symbol[j], wanted[j] = -1, 0
             k = after[i] = after[j]
+            merge = 0
             if k < n:
                 before[k] = i
-                merge = wanted[i] = look(new << bits | symbol[k], 0)
+                merge = look(new << bits | symbol[k], 0)
                 if merge:
                     heappush(queue, merge << places | i)
-            else:
-                wanted[i] = 0
+            wanted[i] = merge
             h = before[i]
             if h >= 0:
                 merge = wanted[h] = look(symbol[h] << bits | new, 0)
                 if merge:
                     heappush(queue, merge << places | h)
-        out, i = [], 0
-        while i < n:
-            out.append(symbol[i])
-            i = after[i]
-        return out
+        return [s for s in symbol if s >= 0]
 
     def encode(self, text: str) -> bytes:
         """Ids of the text, packed."""

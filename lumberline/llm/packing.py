@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,15 +81,26 @@ def pack_shard(rows: pd.DataFrame, capacity: int) -> list[tuple]:
     return out
 
 
+def digest(text: str) -> int:
+    """64 bits of the text with runs of white space as one space."""
+    raw = text.encode("utf-8", "surrogatepass")
+    body = b" ".join(raw.split())
+    return xxhash.xxh64_intdigest(b" " * raw[:1].isspace() + body + b" " * (raw[-1:].isspace() and len(body) > 0)) - (1 << 63)
+
+
 def counted(rows: DataFrame, path: str) -> DataFrame:
-    """The rows with their tokens in place of the text: every text is encoded, and none goes on to the shuffle."""
+    """The rows with their tokens in place of the text: every text is encoded, and none goes on to the shuffle. A column ``cluster``
+    of nulls is filled with a hash of the normalised text."""
     shared = rows.sparkSession.sparkContext.broadcast(bpe.vocabulary(path))
     rest = [c for c in rows.columns if c != "text"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = [len(shared.value.encode(t.as_py() or "")) // 4 for t in b["text"]]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in rest), pa.array(n, pa.int64())], [*rest, "n_tokens"])
+            found = {c: b[c] for c in rest}
+            if found["cluster"].null_count == len(b):
+                found["cluster"] = pa.array([digest(t.as_py() or "") for t in b["text"]], pa.int64())
+            yield pa.RecordBatch.from_arrays([*found.values(), pa.array(n, pa.int64())], [*rest, "n_tokens"])
 
     return rows.mapInArrow(each, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rest) + ", n_tokens long")
 
@@ -99,8 +111,11 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_RO
     size = F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / BYTES_A_TOKEN) if tokens is None else tokens
     group = F.xxhash64(normalised(F.col("text"))) if cluster is None else cluster
     shards = max(1, -(-docs.count() // shard_rows))
-    small = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), group.cast("long").alias("cluster"), F.pmod(F.xxhash64(F.col("doc_id"), F.col("source"), group), F.lit(shards)).cast("long").alias("shard")]
+    if vocabulary is not None and cluster is None:
+        group = F.lit(None)  # from the text that the encoder reads anyway
+    small = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), group.cast("long").alias("cluster")]
     small = rows.select(*small, size.cast("long").alias("n_tokens")) if vocabulary is None else counted(rows.select(*small, "text"), vocabulary)
+    small = small.withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "cluster"), F.lit(shards)).cast("long"))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.astype({"source": object, "doc_id": "Int64"}).sort_values(["doc_id", "source", "cluster", "n_tokens"], na_position="last", kind="stable").reset_index(drop=True)
