@@ -26,6 +26,7 @@ AUDIT_DEFAULT, AUDIT_MAX = 100, 10_000
 BUCKETS_MAX, GROUPS_MAX, OTHER = 2_000, 10, "other"
 AUTO_BUCKETS_S = (10, 30, 60, 300, 900, 1800, 3600, 10_800, 21_600, 43_200, 86_400, 604_800)
 REGEX_BYTES, PARSER_BYTES = 500, 4096
+NAME_BYTES, METRIC_SERIES = 255, 200
 FIELDS_PER_ENTRY, KEY_BYTES, VALUE_BYTES, MESSAGE_BYTES, STRUCTURED_BYTES = 64, 64, 1024, 16_384, 65_536
 
 FIELD_KEY = re.compile(r"[A-Za-z0-9_.-]{1,64}\Z")

@@ -241,6 +241,20 @@ query("templates_of_messages", _logs(f"SELECT id, {TEMPLATE} AS template, split_
 )
 
 
+def _halves(a: int, b: int) -> str:
+    return f"SELECT {TEMPLATE} AS template, count(*) AS n FROM (SELECT * FROM logs WHERE ts BETWEEN {a} AND {b} ORDER BY ts DESC, id DESC LIMIT 20000) GROUP BY 1"
+
+
+@query(
+    "patterns_compared_logs",
+    _logs(f""", one AS ({_halves(T0, T0 + 3 * DAY)}), two AS ({_halves(T0 + 3 * DAY + 1, END)})
+        SELECT * FROM (SELECT coalesce(one.template, two.template) AS template, coalesce(one.n, 0) AS before, coalesce(two.n, 0) AS after,
+            CASE WHEN one.n IS NULL THEN 'appeared' WHEN two.n IS NULL THEN 'gone' WHEN two.n >= 2 * one.n THEN 'more' END AS change FROM one FULL JOIN two USING (template)) WHERE change IS NOT NULL"""),
+)
+def _(spark, d):
+    return patterns.compared(logs(spark, d), Query(since=T0, until=T0 + 3 * DAY), Query(since=T0 + 3 * DAY + 1, until=END))
+
+
 @query("patterns_compared")
 def _(spark, d):
     return patterns.compared(doc_logs(spark, d), Query(since=0, until=500 * 60000), Query(since=500 * 60000 + 1, until=10**12))
@@ -396,9 +410,9 @@ def _(spark, d):
     return logs(spark, d).where("severity = 3").select("id", maintenance.reason(F.col("host"), F.col("ts"), windows).alias("muted"))
 
 
-@query("silence_gaps", _logs(f"SELECT host, ts AS last, next - ts AS gap FROM (SELECT host, ts, lead(ts) OVER (PARTITION BY host ORDER BY ts, id) AS next FROM logs WHERE severity = 3) WHERE next - ts > {DAY // 4}"))
+@query("silence_gaps", _logs(f"SELECT host, ts AS last, next - ts AS gap FROM (SELECT host, ts, lead(ts) OVER (PARTITION BY host ORDER BY ts, id) AS next FROM logs) WHERE next - ts > {DAY // 8}"))
 def _(spark, d):
-    return maintenance.silence_gaps(logs(spark, d).where("severity = 3"), DAY // 4)
+    return maintenance.silence_gaps(logs(spark, d), DAY // 8)
 
 
 from . import machine_queries, wire_queries  # noqa: E402, F401

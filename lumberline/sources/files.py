@@ -13,12 +13,30 @@ from ..streaming.machines import Chunks, Multiline
 from . import wire
 
 
+#: The largest file that is read in one piece.
+FILE_BYTES = 256 << 20
+
+
 def tailed(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
-    """Lines of the files that appear under a path, gzipped ones too: file, text, arrival, id. Rotated files are new files; the
-    checkpoint of the query keeps the position, so that each line comes at least once."""
-    lines = spark.readStream.option("maxFilesPerTrigger", per_trigger).text(path)
+    """Lines of the files that appear under a path, gzipped ones too: file, line (its number), text, arrival, id. Rotated files are new
+    files; the checkpoint of the query keeps the position, so that each line comes at least once.
+
+    A file is read whole, so that lines have numbers; shippers close files well below ``FILE_BYTES``, and larger ones are an error. Ids
+    are 31 bits of the file's name over 32 bits of the line's number: within a file they follow its lines, and a second reading of a
+    line has the same id.
+    """
+    whole = spark.readStream.option("maxFilesPerTrigger", per_trigger).text(path, wholetext=True)
     now = F.unix_millis(F.current_timestamp())
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"), now.alias("arrival"), F.xxhash64("_metadata.file_path", "value").alias("id"))
+    small = F.when(F.col("_metadata.file_size") > FILE_BYTES, F.raise_error(F.concat(F.lit("file too large to be read whole: "), F.col("_metadata.file_path")))).otherwise(F.col("value"))
+    lines = whole.select(F.col("_metadata.file_path").alias("file"), now.alias("arrival"), F.posexplode(F.split(F.regexp_replace(small, r"\r?\n\z", ""), r"\r?\n")).alias("line", "text"))
+    number = F.shiftleft(F.xxhash64("file").bitwiseAND(F.lit(2**31 - 1)), 32).bitwiseOR(F.col("line").cast("bigint"))
+    return lines.select("file", F.col("line").cast("bigint").alias("line"), "text", "arrival", number.alias("id"))
+
+
+def journal(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
+    """A followed journal as raw bodies (body, arrival, file, id) for ``decoders.decoded``: its export as JSON, an entry a line, in files."""
+    rows = tailed(spark, path, per_trigger).where("text != ''")
+    return rows.select(F.col("text").cast("binary").alias("body"), "arrival", "file", "id")
 
 
 def events(lines: DataFrame, start: str, **limits: int) -> DataFrame:

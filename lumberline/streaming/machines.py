@@ -224,6 +224,10 @@ class RateLimit(Machine):
         return [tokens - ok, last], [(row["id"], row["host"], now, ok)]
 
 
+#: No host has this name.
+OTHERS = "\0"
+
+
 @dataclass
 class BothLimits(Machine):
     """Buckets of hosts and one of all: an entry needs a token of both, or takes none. One key, and so one task, for all rows: that
@@ -232,20 +236,24 @@ class BothLimits(Machine):
     host_rate: float = 10
     host_burst: float = 0
     all_rate: float = 100
+    all_burst: float = 0
+    most_hosts: int = 4096  # hosts beyond these, in order of arrival, share one bucket
     schema = RateLimit.schema
     keys = ()
     columns = ("id", "host")
 
     def step(self, state, row):
-        host, whole = RateLimit(self.host_rate, self.host_burst), RateLimit(self.all_rate)
+        host, whole = RateLimit(self.host_rate, self.host_burst), RateLimit(self.all_rate, self.all_burst)
         hosts, everything = state or ({}, None)
-        one, told = host.step(hosts.get(row["host"]), row)
+        name = row["host"] if row["host"] in hosts or len(hosts) < self.most_hosts else OTHERS
+        one, told = host.step(hosts.get(name), row)
         if told[0][3]:
             both, told = whole.step(everything, row)
             everything = both
             if not told[0][3]:
                 one = [one[0] + 1, one[1]]
-        return [hosts | {row["host"]: one}, everything], told
+        hosts[name] = one  # the state is this fold's own
+        return [hosts, everything], told
 
 
 @dataclass
