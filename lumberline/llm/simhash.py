@@ -11,7 +11,8 @@ large ones hash balls over the other word (radius 1 against radius 2), which tak
 exact. A bucket is held as 17 bytes for each distinct fingerprint that shares its word: n fingerprints spread evenly give buckets of
 33 n / 2**32 members a side, some 800 at 10**11.
 Only distinct fingerprints travel, so that copies cost nothing here. Components come from alternating large-star and
-small-star rounds in Spark, each stored in the shared folder; neither links nor labels reach the driver.
+small-star rounds in Spark; each pair of rounds is one plan, whose shuffle of the large star is read by both sides of the small
+one, and one table in the shared folder. Neither links nor labels reach the driver.
 
 Defined cases: a null, empty or blank text has fingerprint zero, linked like any other; one or two words are one shingle;
 repeated rows share fingerprint and component; a null doc_id joins its component but never names it, unless all are null;
@@ -208,7 +209,10 @@ def near_links(fps: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and root, the smallest node of its component, for all nodes of the links (a > b)."""
+    """node and root, the smallest node of its component, for all nodes of the links (a > b).
+
+    Only the links after a small star are written: tables of few rows over many partitions cost files more than work.
+    """
     edges = stored(links.select("a", "b").distinct(), "links")
     before = None
     while True:
@@ -219,14 +223,12 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = stored(large, "large-star")
         old = edges
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         turned = large.join(least, "a")
         small = turned.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = stored(small.distinct(), "small-star")
         discard(old)
-        discard(large)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
