@@ -162,3 +162,18 @@ def syslog_frames(data: bytes, most: int = 65_536, last: bool = True) -> tuple[l
 def gelf_frames(data: bytes) -> list[bytes]:
     """Messages ended by NUL or newline."""
     return [x for x in re.split(rb"[\x00\n]", data) if x.strip()]
+
+
+def grpc_messages(data: bytes, most: int = BODY_BYTES) -> list[bytes]:
+    """Messages of a gRPC body: a byte that tells if the message is compressed, its length in four bytes, the message."""
+    out, at = [], 0
+    while at < len(data):
+        if at + 5 > len(data):
+            raise Malformed("truncated gRPC message")
+        packed, size = struct.unpack_from(">BI", data, at)
+        message = data[at + 5 : at + 5 + size]
+        if packed > 1 or size > most or len(message) < size:
+            raise Malformed("malformed gRPC message")
+        out.append(inflated(message, most) if packed else message)
+        at += 5 + size
+    return out

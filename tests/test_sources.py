@@ -190,6 +190,12 @@ def test_otlp():
     record = fixed(1, 1_500_000_000) + b"\x10" + varint(17) + field(5, field(1, b"took=3 a=b")) + field(6, field(1, b"n") + field(2, b"\x18\x07")) + field(9, bytes.fromhex("ab" * 16))
     proto = field(1, field(1, field(1, kv(b"host.name", b"h")) + field(1, kv(b"service.name", b"shop"))) + field(2, field(1, field(1, b"lib")) + field(2, record)))
     assert decoders.otlp_logs_protobuf(proto, 9)[0] == (1500, "h", "shop", 3, "took=3 a=b", {"took": "3", "a": "b", "scope": "lib", "n": "7", "trace_id": "ab" * 16}, None)
+    frame = lambda m, packed=0: struct.pack(">BI", packed, len(m)) + m
+    calls = frame(proto) + frame(gzip.compress(proto), 1) + frame(b"")
+    assert decoders.otlp_logs_grpc(calls, 9) == decoders.otlp_logs_protobuf(proto, 9) * 2 and decoders.otlp_logs_grpc(b"", 9) == []
+    for wrong in (frame(proto)[:-1], frame(proto)[:3], frame(proto, 2), frame(gzip.compress(proto)[:-4], 1)):
+        with pytest.raises(wire.Malformed):
+            wire.grpc_messages(wrong)
     span = {"traceId": "AB" * 16, "spanId": "cd" * 8, "name": "GET", "kind": "SPAN_KIND_SERVER", "startTimeUnixNano": "5000000", "endTimeUnixNano": "4000000", "status": {"code": "STATUS_CODE_ERROR", "message": "m"}, "events": [{"timeUnixNano": "6000", "name": "e"}]}
     body = json.dumps({"resourceSpans": [{"resource": resource, "scopeSpans": [{"spans": [span, {"traceId": "0" * 32, "spanId": "cd" * 8}]}]}]}).encode()
     good, bad = decoders.otlp_spans_json(body, 0)
