@@ -4,7 +4,8 @@ A text is cut at the vocabulary's added tokens, then into pieces by its pattern.
 list; a priority queue holds the merge ranks of neighbours, the least rank and of equal ranks the leftmost first, and an entry
 whose neighbours have changed since is stale and skipped. Decoding concatenates the vocabulary's byte strings. Pieces recur, so
 that each worker remembers those it has merged, up to ``REMEMBERED`` of them and none over ``SHORT`` characters (which bounds the
-bytes that it holds), the younger half in full and of the older half those that recur; results never depend on it.
+bytes that it holds), the younger half in full and of the older half those that recur; results never depend on it. Who needs numbers
+of tokens only takes ``Counts``.
 
 The vocabulary file is a parameter: it is read on the driver and broadcast, and its size doesn't depend on the input. Files with
 another kind of model, normaliser or splitting than byte-level BPE's are refused with ValueError.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -24,6 +26,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +36,12 @@ from .shared import pick
 REMEMBERED = 1_000_000
 SHORT = 32
 TOKENS = 1 << 18
+TOGETHER = 1 << 23
 # Fixed value: the pattern of byte-level BPE.
 PIECES = r" ?\p{L}+|'(?:[stmd]|re|ve|ll)| ?(?:\p{N}+|[^\p{White_Space}\p{L}\p{N}]+)|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+NONE = 1 << 62
+EDGE = 1 << 40
+UNCUT = re.compile(r"\s (?!\S)").search
 
 
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(33)]
@@ -152,6 +159,112 @@ class Bpe(dict):
             yield b"".join([strings[t] for t in np.frombuffer(ids[i : i + 4 * TOKENS], dtype="<u4").tolist()])
 
 
+class Counts:
+    """Numbers of tokens, for those who don't need the ids: each distinct word of some texts is merged once, many words at a time.
+
+    A word is what lies between two spaces, and goes with the space before it. A text may be cut before a space unless white space
+    comes before it and more white space, or the end, after it: no piece has a space behind anything else but white space, and a
+    run of white space leaves its last character to what follows. Words that white space begins or ends, and empty ones, count
+    ``EDGE`` on top, and texts with any are searched for such a space; if there is one, or an added token, the text is encoded as
+    a whole. Words up to ``SHORT`` are remembered as pieces are, ``REMEMBERED`` at most.
+    """
+
+    def __init__(self, ids: Bpe):
+        self.ids, self.younger, self.older = ids, {}, {}
+        self.starts = np.array([[m or NONE for m in row] for row in ids.starts])
+        self.single = np.array(ids.single)
+        self.pairs = np.array([*sorted(ids.merges), NONE])
+        self.merges = np.array([*(ids.merges[x] for x in self.pairs[:-1].tolist()), NONE])
+
+    def __reduce__(self):
+        return Counts, (self.ids,)
+
+    def merge_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left << self.ids.bits | right
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.merges[at], NONE)
+
+    def merged(self, pieces: list[bytes]) -> np.ndarray:
+        """As many symbols as ``Bpe.merged`` finds, of each piece. Pieces of one length are the rows of a table; each round merges
+        the leftmost least pair of every row, and so takes one column away, and rows without a pair to merge leave."""
+        sizes = np.array([len(p) for p in pieces])
+        out = np.minimum(sizes, 1)
+        for size in np.unique(sizes[sizes > 1]).tolist():
+            who = (sizes == size).nonzero()[0]
+            raw = np.frombuffer(b"".join([pieces[i] for i in who.tolist()]), np.uint8).reshape(-1, size)
+            symbol, wanted = self.single[raw], self.starts[raw[:, :-1], raw[:, 1:]]
+            while len(who):
+                width = symbol.shape[1]
+                out[who] = width
+                if width == 1:
+                    break
+                at = wanted.argmin(axis=1)
+                merge = wanted[np.arange(len(who)), at]
+                live = (merge != NONE).nonzero()[0]
+                who, symbol, wanted, at, merge = who[live], symbol[live], wanted[live], at[live], merge[live]
+                row, stay = np.arange(len(who)), np.ones(symbol.shape, bool)
+                symbol[row, at] = merge & (1 << self.ids.bits) - 1
+                stay[row, at + 1] = False
+                symbol = symbol[stay].reshape(len(who), width - 1)
+                wanted = wanted[stay[:, 1:]].reshape(len(who), width - 2)
+                for first in (at - 1, at):
+                    some = ((first >= 0) & (first < width - 2)).nonzero()[0]
+                    left = first[some]
+                    wanted[some, left] = self.merge_of(symbol[some, left], symbol[some, left + 1])
+        return out
+
+    def sizes(self, words: list[str]) -> np.ndarray:
+        """Tokens of each word with a space before it."""
+        found = list(map(self.younger.get, words))
+        new = [i for i, n in enumerate(found) if n is None]
+        pieces, owner, rest = [], [], []
+        for i in new:
+            word = words[i]
+            n = found[i] = self.older.get(word)
+            if n is not None:
+                continue
+            found[i] = 0 if word and not word[0].isspace() and not word[-1].isspace() else EDGE
+            rest.append(i)
+            for p in (" " + word,) if word.isascii() and word.isalpha() else self.ids.find(" " + word):
+                if len(p) > SHORT:
+                    found[i] += len(self.ids[p]) // 4
+                else:
+                    pieces.append(p.encode())
+                    owner.append(i)
+        out = np.array(found, np.int64)
+        np.add.at(out, np.array(owner, np.int64), self.merged(pieces))
+        for i, n in zip(new, out[new].tolist(), strict=True):
+            if len(words[i]) <= SHORT:
+                self.younger[words[i]] = n
+        if len(self.younger) >= REMEMBERED // 2:
+            self.older, self.younger = self.younger, {}
+        return out
+
+    def count(self, texts: pa.Array) -> list[int]:
+        """Tokens of each text; ``TOGETHER`` bytes, or one text, at a time."""
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // TOGETHER
+        cuts = [0, *((size[1:] != size[:-1]).nonzero()[0] + 1).tolist(), len(texts)]
+        return [n for a, z in pairwise(cuts) if a < z for n in self._count(pc.fill_null(texts.slice(a, z - a), ""))]
+
+    def _count(self, texts: pa.Array) -> list[int]:
+        parts = pc.split_pattern(texts, " ")
+        first = parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
+        words = parts.flatten()
+        told = words.dictionary_encode()
+        sizes = self.sizes(told.dictionary.to_pylist())[told.indices.to_numpy()]
+        sizes[first] = [len(self.ids.encode(x)) // 4 for x in words.take(pa.array(first)).to_pylist()]
+        out = np.add.reduceat(sizes, first)
+        whole = out >= EDGE
+        out %= EDGE
+        for i in whole.nonzero()[0].tolist():
+            whole[i] = UNCUT(texts[i].as_py()) is not None
+        for word in self.ids.added:
+            whole |= pc.match_substring(texts, word).to_numpy(zero_copy_only=False)
+        for i in whole.nonzero()[0].tolist():
+            out[i] = len(self.ids.encode(texts[i].as_py())) // 4
+        return out.tolist()
+
+
 def vocabulary(path: str) -> Bpe:
     with open(path, encoding="utf-8") as f:
         return Bpe(f.read())

@@ -89,14 +89,14 @@ def digest(text: str) -> int:
 
 
 def counted(rows: DataFrame, path: str) -> DataFrame:
-    """The rows with their tokens in place of the text: every text is encoded, and none goes on to the shuffle. A column ``cluster``
+    """The rows with their tokens in place of the text: every whole text is counted, and none goes on to the shuffle. A column ``cluster``
     of nulls is filled with a hash of the normalised text."""
-    shared = rows.sparkSession.sparkContext.broadcast(bpe.vocabulary(path))
+    shared = rows.sparkSession.sparkContext.broadcast(bpe.Counts(bpe.vocabulary(path)))
     rest = [c for c in rows.columns if c != "text"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = [len(shared.value.encode(t.as_py() or "")) // 4 for t in b["text"]]
+            n = shared.value.count(b["text"])
             found = {c: b[c] for c in rest}
             if found["cluster"].null_count == len(b):
                 found["cluster"] = pa.array([digest(t.as_py() or "") for t in b["text"]], pa.int64())

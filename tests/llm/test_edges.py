@@ -4,6 +4,7 @@ import json
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +31,24 @@ def test_bpe_keeps_no_long_pieces_and_refuses_other_models(tmp_path):
         bpe.vocabulary(str(tmp_path / "x.json"))
 
 
+def test_counts_of_many_words_at_once(monkeypatch):
+    v, rng = bpe.vocabulary(vocabulary()), random.Random(4)
+    parts = ["a", "the", "ing", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u3000", "'s", "'", "x1", "½", "日本", "é", "?!", "<|endoftext|>", "Anblewh"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(3000)] + [None, "", " ", "é" * 40 + " " + "ab" * 3000, "a   b", "a  "]
+    want = [len(v.encode(t or "")) // 4 for t in texts]
+    for together, most in ((bpe.TOGETHER, bpe.REMEMBERED), (50, 20)):
+        monkeypatch.setattr(bpe, "TOGETHER", together)
+        monkeypatch.setattr(bpe, "REMEMBERED", most)
+        c = bpe.Counts(v)
+        assert c.count(pa.array(texts)) == want and c.count(pa.array(texts).slice(7, 9)) == want[7:16]
+    assert c.count(pa.array([], pa.string())) == [] and c.count(pa.array([None], pa.string())) == [0]
+    words, calls, one = " ".join(f"w{i}q" for i in range(2000)), [], v.merged
+    n = len(v.encode(words)) // 4
+    v.clear()
+    monkeypatch.setattr(bpe.Bpe, "merged", lambda self, piece: calls.append(piece) or one(piece))
+    assert bpe.Counts(v).count(pa.array([words])) == [n] and len(calls) <= 3  # no word but the first is merged on its own
+
+
 def test_copies_of_one_id_keep_the_least_row(spark):
     rows = [(1, "a b", lang, source) for lang in ("fr", "de", "en") for source in ("y", "x")] + [(None, "n  n", None, "s"), (None, "n n", "en", None), (2, "a  b", "aa", "aa")]
     for n in (1, 5):
