@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumberline.llm import bpe, exact, packing, shared, urls
+from lumberline.llm import bpe, exact, packing, repeats, shared, urls
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -158,3 +158,27 @@ def test_language_batches_agree():
     assert [x for x, _ in together] == [x for x, _ in alone] and np.allclose([x for _, x in together], [x for _, x in alone])
     assert [together[i] for i in (1, 2, 3)] == [("und", 0.0)] * 3 and model.predict([]) == []
     assert language.Model([], np.empty((0, 1 << 10), np.float32), np.empty(0)).predict(["a", None]) == [("und", 0.0)] * 2
+
+
+@pytest.mark.parametrize("passages,copies,size", [(1, 100, 30), (40, 2, 38)])
+def test_contexts_that_cannot_share_a_string_are_not_contested(passages, copies, size):
+    """What is in common is too short for a string of 50, whatever lies around it; 100 contexts of a gram in a task are no reason to skip that step."""
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    texts = [noise(60) + same + noise(60) for same in (noise(size) for _ in range(passages)) for _ in range(copies)]
+    rows = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": texts})
+    assert [x for b in repeats.found_runs(iter([rows]), 1) for x in repeats.settled_runs(iter([b]))] == []
+
+
+def test_one_shared_string_is_found_wherever_its_anchor_lies(spark):
+    rng = random.Random(10)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows, want = [], {}
+    for i in range(0, 400, 2):
+        same = noise(50)
+        for k in (0, 1):
+            before, after = (noise(rng.randrange(3) * 30) + "#$"[k], "%&"[k] + noise(rng.randrange(3) * 30)) if i % 8 else ("", "")
+            rows.append((i + k, before + same + after, None, None))
+            want[i + k] = (50 * k, k)
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.without_repeats(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    assert got == want
