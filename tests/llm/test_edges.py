@@ -170,7 +170,11 @@ def test_contexts_that_cannot_share_a_string_are_not_contested(passages, copies,
     assert [x for b in repeats.found_runs(iter([rows]), 1) for x in repeats.settled_runs(iter([b]))] == []
 
 
-def test_one_shared_string_is_found_wherever_its_anchor_lies(spark):
+@pytest.mark.parametrize("spread", [False, True])
+def test_one_shared_string_is_found_wherever_its_anchor_lies(spark, monkeypatch, spread):
+    if spread:  # every contested gram
+        own = repeats.settled_runs
+        monkeypatch.setattr(repeats, "settled_runs", lambda it: own(it, 1))
     rng = random.Random(10)
     noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
     rows, want = [], {}
@@ -182,3 +186,14 @@ def test_one_shared_string_is_found_wherever_its_anchor_lies(spark):
             want[i + k] = (50 * k, k)
     got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.without_repeats(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
     assert got == want
+
+
+def test_contested_contexts_of_one_gram_are_spread():
+    rng = random.Random(11)
+    same = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(60))
+    texts = ["".join(rng.choice("ABCDEFGH") for _ in range(60)) + same + "".join(rng.choice("ABCDEFGH") for _ in range(60)) for _ in range(600)]
+    rows = [pa.record_batch({"doc_id": pa.array(range(a, a + 300)), "text": texts[a : a + 300]}) for a in (0, 300)]  # 300 of a gram in each task
+    packed = [b for x in rows for b in repeats.found_runs(iter([x]), 1)]
+    found = Counter(x for b in repeats.settled_runs(iter(packed)) for x in zip(b["kind"].to_pylist(), b["gram"].to_pylist(), strict=True))
+    assert max(n for (kind, _), n in found.items() if kind == repeats.CONTESTED_HOT) > repeats.HOT
+    assert max(n for (kind, _), n in found.items() if kind == repeats.CONTESTED) <= repeats.HOT
